@@ -1,0 +1,21 @@
+"""Results that several steps read are written once, to the folder the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset, a temporary one (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or tempfile.mkdtemp(prefix="keysift-checkpoints-")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` computed once and stored reliably, so that losing an executor does not recompute it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint()
