@@ -525,9 +525,8 @@ def _timed(docs: DataFrame) -> DataFrame:
 def _stream_docs(spark, folder) -> DataFrame:
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
-    seed = F.col("doc_id")
-    return _timed(rows.select("doc_id", cp.planted_path(seed).alias("path"),
-                              F.concat("text", cp.plant(seed)).alias("content")))
+    return _timed(rows.select("doc_id", cp.planted_path("doc_id").alias("path"),
+                              F.concat("text", cp.plant("doc_id")).alias("content")))
 
 
 def _run_stream(spark, stream: DataFrame) -> DataFrame:
@@ -547,8 +546,8 @@ def q_stream_report_once(spark, folder):
 
 
 def q_stream_suppress_known(spark, folder):
-    """The second snapshot's findings are known; the stream brings the documents with their lines."""
-    old, _ = _old_new(spark, folder)
+    """The last snapshot's findings are known; the stream brings the documents as they were before."""
+    _, old = _old_new(spark, folder)
     found = scan_table(_stream_docs(spark, folder), context=None)
     return _run_stream(spark, suppress_known(found, old)).select("rule_id", "file", "fingerprint")
 

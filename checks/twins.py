@@ -515,7 +515,7 @@ def twins() -> dict[str, str]:
         "stream_suppress_known": on_findings(
             "SELECT rule_id, file, fingerprint FROM findings WHERE NOT known",
             f"SELECT *, FALSE AS known FROM ({DOCS}) UNION ALL SELECT doc_id, path, content, TRUE FROM ({COMMITS}) "
-            "WHERE step = 2", keep="known") + " AND fingerprint NOT IN (SELECT fingerprint FROM findings WHERE known)",
+            "WHERE step = 3", keep="known") + " AND fingerprint NOT IN (SELECT fingerprint FROM findings WHERE known)",
         "findings_by_hour": on_findings(f"""SELECT {hours} AS window_start, {hours} + 3600 AS window_end, severity,
             count(*) AS findings FROM findings GROUP BY ALL""", keep="doc_id"),
         "findings_by_sliding_hours": on_findings(f"""SELECT w AS window_start, w + 7200 AS window_end, severity,

@@ -13,6 +13,7 @@ SEQUENCE_PENALTY = 1.2
 ONE_CASE_FACTOR = 0.8
 PENALTY_FACTORS = {"hex": 0.9, "base64": 0.95, "lowercase": 0.8, "nosymbols": 0.85}
 HEX_LADDERS = ("0123456789abcdef", "abcdef0123456789")
+LADDER_LENGTH = 16
 LADDER_SHARE = 0.8
 LADDER_MIN_LENGTH = 10
 
@@ -42,12 +43,12 @@ def is_sequential_or_repeated(s: Column) -> Column:
     """One byte repeated, a 64-bit integer, or hex close to counting up through the digits."""
     repeated = s.rlike(r"(?s)^([\x00-\x7F])\1*\z")
     integer = s.rlike(r"^[+-]?[0-9]+\z") & s.try_cast("bigint").isNotNull()
-    low = F.lower(s)
+    head = F.split(F.lower(F.left(s, F.lit(LADDER_LENGTH))), "")
     ladders = []
     for ladder in HEX_LADDERS:
-        same = reduce(lambda a, b: a + b, [(F.substring(low, i + 1, 1) == c).cast("int")
-                                           for i, c in enumerate(ladder)])
-        ladders.append((F.length(s) >= len(ladder)) & (same > LADDER_SHARE * len(ladder)))
+        same = F.aggregate(F.zip_with(head, F.split(F.lit(ladder), ""), lambda a, b: (a == b).cast("int")),
+                           F.lit(0), lambda total, equal: total + equal)
+        ladders.append((F.length(s) >= LADDER_LENGTH) & (same > LADDER_SHARE * LADDER_LENGTH))
     counting = (is_hex(s) & (F.length(s) >= LADDER_MIN_LENGTH) & s.rlike("[a-f]")
                 & reduce(lambda a, b: a | b, ladders))
     return repeated | F.coalesce(integer, F.lit(False)) | counting

@@ -20,6 +20,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def sql_string(text: str) -> str:
+    """The text as an SQL string literal, whatever the session's escaping rules.
+
+    Expressions with hundreds of literals are built as one SQL text: a call per literal would
+    cost the driver more than a small scan takes.
+    """
+    return ' r"\'" '.join(f"r'{part}'" for part in text.split("'"))
+
+
 def byte_length(s: Column) -> Column:
     return F.octet_length(s)
 

@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keysift.functions.text import let, match_context
+from keysift.functions.text import let, match_context, sql_string
 from keysift.operators.allow import DEFAULT_MARKERS, has_inline_allow
 from keysift.rules.pack import CompiledRule, RulePack
 
@@ -27,10 +27,6 @@ RULES_PER_MASK = 60
 BLOCK = 256
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def _needed_keywords(keywords: tuple[str, ...]) -> list[str]:
     """Keywords that contain another keyword of the same rule add nothing."""
     return [k for k in keywords if not any(o != k and o in k for o in keywords)]
@@ -48,40 +44,38 @@ def candidate_masks(df: DataFrame, text: str, rules: list[CompiledRule]) -> Data
     flagged = lowered.select(*kept, "_low", *[F.col("_low").contains(p).alias(f"_part{i}")
                                              for i, p in enumerate(parts)])
 
-    def present(keyword: str) -> Column:
+    def present(keyword: str) -> str:
+        search = f"contains(_low, {sql_string(keyword)})"
         part = next((i for i, p in enumerate(parts) if p in keyword), None)
         if part is None:
-            return F.col("_low").contains(keyword)
-        flag = F.col(f"_part{part}")
-        return flag if parts[part] == keyword else flag & F.col("_low").contains(keyword)
-
-    def bit(place: int, rule: CompiledRule) -> Column:
-        if not rule.keywords:
-            return F.lit(1 << place)
-        return F.when(_any([present(k) for k in _needed_keywords(rule.keywords)]),
-                      F.lit(1 << place)).otherwise(F.lit(0))
-
-    masks = [reduce(lambda a, b: a + b, [bit(i, r).cast("bigint") for i, r in enumerate(block)])
-             for block in _blocks(rules)]
+            return search
+        return f"_part{part}" if parts[part] == keyword else f"(_part{part} AND {search})"
+
+    def bit(place: int, rule: CompiledRule) -> str:
+        keywords = " OR ".join(present(k) for k in _needed_keywords(rule.keywords))
+        return f"CASE WHEN {keywords or 'true'} THEN {1 << place}L ELSE 0L END"
+
+    masks = [F.expr(" + ".join(bit(i, rule) for i, rule in enumerate(block))) for block in _blocks(rules)]
     once = flagged.select(*kept, F.explode(F.array(F.array(*masks))).alias("masks"))
-    return once.filter(_any([F.col("masks")[b] != 0 for b in range(len(masks))]))
+    return once.filter(reduce(lambda a, b: a | b, [F.col("masks")[b] != 0 for b in range(len(masks))]))
 
 
 def _blocks(rules: list[CompiledRule]) -> list[list[CompiledRule]]:
     return [rules[i:i + RULES_PER_MASK] for i in range(0, len(rules), RULES_PER_MASK)]
 
 
-def _is_candidate(place: int) -> Column:
-    return F.col("masks")[place // RULES_PER_MASK].bitwiseAND(1 << place % RULES_PER_MASK) != 0
+def _is_candidate(place: int) -> str:
+    return f"masks[{place // RULES_PER_MASK}] & {1 << place % RULES_PER_MASK}L != 0"
 
 
 def candidate_rules(df: DataFrame, pack: RulePack, text: str, keyless: str = "never") -> DataFrame:
     """One row per text and candidate rule: the input columns and ``rule_idx``; the text is left out."""
     rules = pack.compiled(keyless)
     if not rules:
-        return df.drop(text).withColumn("rule_idx", F.lit(0)).limit(0)
+        return df.drop(text).withColumn("rule_idx", F.lit(0)).filter(F.lit(False))
     kept = [c for c in df.columns if c != text]
-    indexes = F.array(*[F.when(_is_candidate(i), F.lit(r.index)) for i, r in enumerate(rules)])
+    indexes = F.expr("array(%s)" % ", ".join(
+        f"CASE WHEN {_is_candidate(i)} THEN {rule.index} END" for i, rule in enumerate(rules)))
     return (candidate_masks(df, text, rules).select(*kept, F.explode(indexes).alias("rule_idx"))
             .filter(F.col("rule_idx").isNotNull()))
 
@@ -172,14 +166,13 @@ def rule_matches(df: DataFrame, pack: RulePack, text: str, keyless: str = "never
     rules = pack.compiled(keyless)
     kept = [c for c in df.columns if c != text]
     if not rules:
-        rules = [CompiledRule(0, None, r"[^\s\S]", ("\0",))]  # matches nothing, keeps the columns
-    body = F.col(text)
-    found = F.array(*[
-        F.struct(F.lit(place).alias("place"), F.lit(rule.index).alias("rule_idx"),
-                 F.when(_is_candidate(place),
-                        F.regexp_extract_all(body, F.lit(rule.java), F.lit(0))).alias("found"))
-        for place, rule in enumerate(rules)])
-    patterns = F.array(*[F.lit(rule.java) for rule in rules])
+        rules = [CompiledRule(0, None, r"[^\s\S]", ("-",))]  # matches nothing, keeps the columns
+    body, name = F.col(text), f"`{text.replace('`', '``')}`"
+    found = F.expr("array(%s)" % ", ".join(
+        f"named_struct('place', {place}, 'rule_idx', {rule.index}, 'found', CASE WHEN {_is_candidate(place)} "
+        f"THEN regexp_extract_all({name}, {sql_string(rule.java)}, 0) END)"
+        for place, rule in enumerate(rules)))
+    patterns = F.expr("array(%s)" % ", ".join(sql_string(rule.java) for rule in rules))
     hits = F.filter(found, lambda hit: F.size(hit["found"]) > 0)
     located = F.flatten(F.transform(hits, lambda hit: _locate(body, hit, patterns, markers, context)))
     return candidate_masks(df, text, rules).select(*kept, F.inline(located))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keysift.functions.entropy import adjusted_entropy
@@ -11,6 +13,8 @@ from keysift.rules.pack import RulePack
 
 FINDING_COLUMNS = ("rule_id", "description", "match", "file", "line", "column", "severity", "tags",
                    "entropy", "fingerprint", "verified", "account", "message", "commit", "context", "raw")
+RULE_METADATA = ("array<struct<rule_id: string, description: string, severity: string, tags: array<string>, "
+                 "threshold: double, validate: string>>")
 REPORT_ORDER = ("file", "line", "column", "rule_id")
 
 
@@ -20,14 +24,14 @@ def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def rule_metadata(pack: RulePack, rule_idx: Column) -> Column:
-    """The rule's metadata as a struct.  A pack is a small driver-side object, so it goes in as a literal."""
-    entries = [F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.description).alias("description"),
-                        F.lit(r.severity).alias("severity"),
-                        (F.array(*map(F.lit, r.tags)) if r.tags
-                         else F.array().cast("array<string>")).alias("tags"),
-                        F.lit(r.entropy).alias("threshold"), F.lit(r.validate).alias("validate"))
-               for r in pack.rules]
-    return F.element_at(F.array(*entries), rule_idx + 1)
+    """The rule's metadata as a struct.
+
+    A pack is a small driver-side object; it goes in as one literal that the optimizer folds to
+    an array, so that no join is needed.
+    """
+    entries = json.dumps([{"rule_id": r.id, "description": r.description, "severity": r.severity,
+                           "tags": r.tags, "threshold": r.entropy, "validate": r.validate} for r in pack.rules])
+    return F.element_at(F.from_json(F.lit(entries), RULE_METADATA), rule_idx + 1)
 
 
 def with_rule_metadata(df: DataFrame, pack: RulePack) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from keysift.functions.text import sql_string
 from keysift.rules.pack import RulePack, pack_from_dict
 from keysift.sources.files import read_text_table
 
@@ -72,27 +73,27 @@ PATH_KINDS = 19
 SNAPSHOTS = (1, 2, 3)
 
 
-def _token(digest: Column, alphabet: str) -> Column:
-    return F.translate(digest, *ALPHABETS[alphabet]) if ALPHABETS[alphabet] else digest
+def _piece(piece: str | tuple, digest: str) -> str:
+    if isinstance(piece, str):
+        return sql_string(piece)
+    renamed = ALPHABETS[piece[0]]
+    token = f"translate({digest}, '{renamed[0]}', '{renamed[1]}')" if renamed else digest
+    return f"substr({token}, {piece[1]}, {piece[2]})"
 
 
-def plant(seed: Column) -> Column:
-    """The planted line of a row, from its number."""
-    digest = F.sha2(seed.cast("string"), 256)
-    line = F.lit("")
-    for kind, pieces in enumerate(PLANTS):
-        text = F.concat(*[F.lit(p) if isinstance(p, str) else F.substring(_token(digest, p[0]), p[1], p[2])
-                          for p in pieces])
-        line = F.when(seed % PLANT_KINDS == kind, text).otherwise(line)
-    return line
+def plant(seed: str) -> Column:
+    """The planted line of a row, from an SQL expression for its number."""
+    digest = f"sha2(CAST({seed} AS STRING), 256)"
+    lines = " ".join(f"WHEN {kind} THEN concat({', '.join(_piece(p, digest) for p in pieces)})"
+                     for kind, pieces in enumerate(PLANTS))
+    return F.expr(f"CASE ({seed}) % {PLANT_KINDS} {lines} ELSE '' END")
 
 
-def planted_path(seed: Column) -> Column:
-    number = seed.cast("string")
-    path = F.concat(F.lit("src/mod"), (seed % PATH_KINDS).cast("string"), F.lit("/file_"), number, F.lit(".ts"))
-    for kind, before, after in PATHS:
-        path = F.when(seed % PATH_KINDS == kind, F.concat(F.lit(before), number, F.lit(after))).otherwise(path)
-    return path
+def planted_path(seed: str) -> Column:
+    number = f"CAST({seed} AS STRING)"
+    named = " ".join(f"WHEN {kind} THEN concat('{before}', {number}, '{after}')" for kind, before, after in PATHS)
+    return F.expr(f"CASE ({seed}) % {PATH_KINDS} {named} ELSE concat('src/mod', "
+                  f"CAST(({seed}) % {PATH_KINDS} AS STRING), '/file_', {number}, '.ts') END")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,9 +102,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, path, content) for every document."""
-    seed = F.col("doc_id")
     return documents(spark, folder).select(
-        "doc_id", planted_path(seed).alias("path"), F.concat("text", plant(seed)).alias("content"))
+        "doc_id", planted_path("doc_id").alias("path"), F.concat("text", plant("doc_id")).alias("content"))
 
 
 def file_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,11 +118,10 @@ def file_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversation_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) for every turn of every conversation."""
-    seed = F.col("conv_id") * 100 + F.col("turn")
     turns = read_text_table(spark, f"{folder}/conversations.parquet", "conv_id")
     return turns.select(F.concat(F.lit("chat/"), F.col("conv_id").cast("string"), F.lit("/"),
                                  F.col("turn").cast("string"), F.lit(".txt")).alias("path"),
-                        F.concat("text", plant(seed)).alias("content"))
+                        F.concat("text", plant("conv_id * 100 + turn")).alias("content"))
 
 
 def page_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,14 +138,14 @@ def commit_corpus(spark: SparkSession, folder: str) -> DataFrame:
     the line again and a fifth have a new first line that moves everything down.
     """
     seed, step = F.col("doc_id"), F.col("step")
-    tail = F.when((step == 1) | ((step == 3) & (seed % 7 == 0)), F.lit("")).otherwise(plant(seed))
+    tail = F.when((step == 1) | ((step == 3) & (seed % 7 == 0)), F.lit("")).otherwise(plant("doc_id"))
     head = F.when((step == 3) & (seed % 5 == 0), F.lit("moved\n")).otherwise(F.lit(""))
     group = (seed % 4).cast("string")
     steps = documents(spark, folder).select("*", F.explode(F.array(*map(F.lit, SNAPSHOTS))).alias("step"))
     return steps.select(
         F.left(F.sha2(F.concat(F.lit("commit-"), step.cast("string"), F.lit("-"), group), 256), F.lit(40))
         .alias("commit"),
-        (step * 10 + seed % 4).alias("commit_seq"), planted_path(seed).alias("file"),
+        (step * 10 + seed % 4).alias("commit_seq"), planted_path("doc_id").alias("file"),
         F.concat(head, "text", tail).alias("content"))
 
 
