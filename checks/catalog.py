@@ -525,8 +525,7 @@ def _timed(docs: DataFrame) -> DataFrame:
 def _stream_docs(spark, folder) -> DataFrame:
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
-    return _timed(rows.select("doc_id", cp.planted_path("doc_id").alias("path"),
-                              F.concat("text", cp.plant("doc_id")).alias("content")))
+    return _timed(rows.select("doc_id", cp.planted(cp.planted_path("doc_id"), cp.plant("doc_id"))))
 
 
 def _run_stream(spark, stream: DataFrame) -> DataFrame:

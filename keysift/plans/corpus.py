@@ -96,14 +96,18 @@ def planted_path(seed: str) -> Column:
                   f"CAST(({seed}) % {PATH_KINDS} AS STRING), '/file_', {number}, '.ts') END")
 
 
+def planted(path: Column, line: Column) -> Column:
+    """Columns path and content, made once per row: filters on them do not repeat their making."""
+    return F.inline(F.array(F.struct(path.alias("path"), F.concat("text", line).alias("content"))))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_text_table(spark, f"{folder}/documents.parquet", "doc_id").select("doc_id", "text")
 
 
 def document_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, path, content) for every document."""
-    return documents(spark, folder).select(
-        "doc_id", planted_path("doc_id").alias("path"), F.concat("text", plant("doc_id")).alias("content"))
+    return documents(spark, folder).select("doc_id", planted(planted_path("doc_id"), plant("doc_id")))
 
 
 def file_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +116,8 @@ def file_corpus(spark: SparkSession, folder: str) -> DataFrame:
     content = (F.when(seed % 23 == 0, F.concat(F.col("content"), F.lit("\0")))
                .when(seed % 23 == 1, F.concat(F.repeat(F.lit("\x01"), 400), F.col("content")))
                .otherwise(F.col("content")))
-    files = document_corpus(spark, folder).select("doc_id", "path", F.encode(content, "UTF-8").alias("content"))
+    data = F.encode(content, "UTF-8")
+    files = document_corpus(spark, folder).select("doc_id", "path", F.explode(F.array(data)).alias("content"))
     return files.select("doc_id", "path", F.octet_length("content").cast("bigint").alias("length"), "content")
 
 

@@ -14,6 +14,7 @@ where the two differ:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 BOUNDARY = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 NOT_BOUNDARY = "(?:(?<![0-9A-Za-z_])(?![0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_]))"
@@ -57,12 +58,35 @@ class JavaPattern:
     min_width: int  # least number of characters a match can have
 
 
+class _Part(NamedTuple):
+    text: str
+    width: int
+    firsts: frozenset[str] | None = frozenset()  # what a match can start with; None is anything
+    repeatable: bool = True
+
+
 def translate(pattern: str) -> JavaPattern:
     reader = _Reader(pattern)
-    text, width = reader.alternatives(_Flags())
+    part = reader.alternatives(_Flags())
     if reader.more():
         raise PatternError(f"unexpected ) in {pattern!r}")
-    return JavaPattern(text, width)
+    return JavaPattern(_look_first(part), part.width)
+
+
+def _look_first(part: _Part) -> str:
+    """Let a pattern that starts with a choice test the first character before trying the branches."""
+    start = part.text.removeprefix("(?iu)").removeprefix(BOUNDARY)
+    if not part.firsts or part.width == 0 or not start.startswith("("):
+        return part.text
+    return f"(?=[{''.join(map(_code, sorted(part.firsts)))}]){part.text}"
+
+
+def _first_of(ch: str, flags: "_Flags") -> frozenset[str] | None:
+    if not flags.i:
+        return frozenset(ch)
+    if not ch.isascii():
+        return None
+    return frozenset(ch.lower() + ch.upper() + {"k": "\u212a", "s": "\u017f"}.get(ch.lower(), ""))
 
 
 @dataclass
@@ -105,32 +129,34 @@ class _Reader:
 
     # -- structure -----------------------------------------------------------------
 
-    def alternatives(self, flags: _Flags) -> tuple[str, int]:
+    def alternatives(self, flags: _Flags) -> _Part:
         """Everything up to the closing parenthesis of the current group."""
-        branches, widths = [], []
-        while True:
-            text, width = self.sequence(flags)
-            branches.append(text)
-            widths.append(width)
-            if not self.peek("|"):
-                return "|".join(branches), min(widths)
+        branches = [self.sequence(flags)]
+        while self.peek("|"):
             self.at += 1
+            branches.append(self.sequence(flags))
+        firsts = [b.firsts for b in branches]
+        return _Part("|".join(b.text for b in branches), min(b.width for b in branches),
+                     None if None in firsts else frozenset().union(*firsts))
 
-    def sequence(self, flags: _Flags) -> tuple[str, int]:
-        out, total = [], 0
+    def sequence(self, flags: _Flags) -> _Part:
+        out, total, firsts = [], 0, frozenset()
         while self.more() and self.source[self.at] not in "|)":
             if self.peek("\\Q"):
                 self.unquote()
                 continue
-            text, width, repeatable = self.atom(flags)
-            if repeatable:
+            part = self.atom(flags)
+            text, width = part.text, part.width
+            if part.repeatable:
                 suffix, least = self.repetition(flags)
                 if suffix and width == 0:
                     text = f"(?:{text})"
                 text, width = text + suffix, width * least
+            if total == 0 and firsts is not None:
+                firsts = None if part.firsts is None else firsts | part.firsts
             out.append(text)
             total += width
-        return "".join(out), total
+        return _Part("".join(out), total, firsts)
 
     def unquote(self) -> None:
         """Put the escaped form of a \\Q...\\E text in its place."""
@@ -171,25 +197,25 @@ class _Reader:
             self.at = stop + 1
         return least, most
 
-    def atom(self, flags: _Flags) -> tuple[str, int, bool]:
+    def atom(self, flags: _Flags) -> _Part:
         ch = self.take()
         if ch == "(":
             return self.group(flags)
         if ch == "[":
-            return self.bracket(flags), 1, True
+            return _Part(self.bracket(flags), 1, None)
         if ch == ".":
-            return (r"[\s\S]" if flags.s else r"[^\n]"), 1, True
+            return _Part(r"[\s\S]" if flags.s else r"[^\n]", 1, None)
         if ch == "^":
-            return (r"(?<![^\n])" if flags.m else r"\A"), 0, True
+            return _Part(r"(?<![^\n])" if flags.m else r"\A", 0)
         if ch == "$":
-            return (r"(?![^\n])" if flags.m else r"\z"), 0, True
+            return _Part(r"(?![^\n])" if flags.m else r"\z", 0)
         if ch == "\\":
             return self.escape(flags)
         if ch in "*+?":
             raise PatternError(f"nothing to repeat in {self.source!r}")
-        return _literal(ch), 1, True
+        return _Part(_literal(ch), 1, _first_of(ch, flags))
 
-    def group(self, flags: _Flags) -> tuple[str, int, bool]:
+    def group(self, flags: _Flags) -> _Part:
         inner, opening = flags.copy(), "("
         before = flags.i
         if self.peek("?P<") or (self.peek("?<") and not self.peek("?<=") and not self.peek("?<!")):
@@ -213,24 +239,25 @@ class _Reader:
                     setattr(switched, c, value)
             fold = "" if switched.i == before else "iu" if switched.i else "-iu"
             if ends == ")":
-                return (f"(?{fold})" if fold else ""), 0, False
+                return _Part(f"(?{fold})" if fold else "", 0, repeatable=False)
             opening = f"(?{fold}:"
-        text, width = self.alternatives(inner)
+        body = self.alternatives(inner)
         if self.take() != ")":
             raise PatternError(f"missing ) in {self.source!r}")
-        return f"{opening}{text})", width, True
+        return body._replace(text=f"{opening}{body.text})")
 
     # -- single characters and sets --------------------------------------------------
 
-    def escape(self, flags: _Flags) -> tuple[str, int, bool]:
+    def escape(self, flags: _Flags) -> _Part:
         for letter, java in (("b", BOUNDARY), ("B", NOT_BOUNDARY), ("A", r"\A"), ("z", r"\z")):
             if self.peek(letter):
                 self.at += 1
-                return java, 0, True
+                return _Part(java, 0)
         members = self.members(flags)
         if members is None:
-            return _literal(self.character()), 1, True
-        return f"[{members}]", 1, True
+            ch = self.character()
+            return _Part(_literal(ch), 1, _first_of(ch, flags))
+        return _Part(f"[{members}]", 1, None)
 
     def members(self, flags: _Flags) -> str | None:
         """Class members of \\d, \\s, \\w, \\p{..} and their negations; None for other escapes."""
