@@ -180,7 +180,7 @@ def rule_matches(df: DataFrame, pack: RulePack, text: str, keyless: str = "never
     kept = [c for c in df.columns if c != text]
     if not rules:
         rules = [CompiledRule(0, None, r"[^\s\S]", ("-",))]  # matches nothing, keeps the columns
-    body, name = F.col(text), f"`{text.replace('`', '``')}`"
+    body, name = F.col(text), f"`{text}`"
     found = F.expr("array(%s)" % ", ".join(
         f"named_struct('place', {place}, 'rule_idx', {rule.index}, 'found', CASE WHEN {_is_candidate(place)} "
         f"THEN regexp_extract_all({name}, {sql_string(rule.java)}, 0) END)"
