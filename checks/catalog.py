@@ -96,11 +96,6 @@ def q_commits_scanned(spark, folder):
     return history.commits_scanned(cp.commit_corpus(spark, folder))
 
 
-def q_first_seen(spark, folder):
-    commits = cp.commit_corpus(spark, folder)
-    return history.first_seen(history.scan_history(commits, builtin_pack(), context=None), commits)
-
-
 def q_commit_allowlist(spark, folder):
     commits = cp.commit_corpus(spark, folder)
     pack = pack_from_dict({"allowlist": [{"commits": _allowed_commits()}]})
@@ -375,10 +370,6 @@ def q_severity_counts(spark, folder):
     return fnd.severity_counts(_found(spark, folder))
 
 
-def q_rule_counts(spark, folder):
-    return fnd.rule_counts(_found(spark, folder))
-
-
 def q_file_summary(spark, folder):
     found = fnd.file_summary(_found(spark, folder))
     return found.withColumns({c: F.col(c).cast("bigint") for c in found.columns if c != "file"})

@@ -330,7 +330,6 @@ SCORE = "CASE lower(severity) WHEN 'critical' THEN '9.5' WHEN 'high' THEN '8.0'
 TOTALS = "SELECT count(*) AS findings FROM findings"
 SUMMARY = "'Found ' || findings || ' secrets' || CASE WHEN files_scanned > 0 THEN ', scanned ' || files_scanned || ' files' ELSE '' END"
 STAMP = "epoch(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 1800))"
-HISTORY = COMMITS.replace(" AS path, step", " AS path, step")
 
 
 def composite() -> str:
@@ -384,8 +383,6 @@ def twins() -> dict[str, str]:
         "scan_history": f"WITH {history} SELECT {PLAIN}, commit FROM findings",
         "scan_commit_range": f"WITH {in_range} SELECT {PLAIN}, commit FROM findings",
         "commits_scanned": f"SELECT count(DISTINCT commit) AS commits_scanned FROM ({COMMITS})",
-        "first_seen": f"""WITH {findings(COMMITS, keep='commit, commit_seq')} SELECT fingerprint,
-            arg_min(commit, commit_seq) AS commit, count(*) AS commits FROM findings GROUP BY fingerprint""",
         "commit_allowlist": f"""SELECT commit, count(*) AS files FROM ({COMMITS})
             WHERE NOT ({kept_commits}) GROUP BY commit""",
         "scan_changed": on_findings(f"SELECT {PLAIN} FROM findings", changed),
@@ -460,8 +457,6 @@ def twins() -> dict[str, str]:
             FROM findings GROUP BY rule_id"""),
         "dedup": on_findings('SELECT DISTINCT rule_id, file, line, "column", fingerprint FROM findings'),
         "severity_counts": on_findings("SELECT severity, count(*) AS findings FROM findings GROUP BY severity"),
-        "rule_counts": on_findings(
-            "SELECT rule_id, count(*) AS findings, count(DISTINCT file) AS files FROM findings GROUP BY rule_id"),
         "file_summary": on_findings("SELECT file, count(*) AS findings, " + ", ".join(
             f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low"))
             + ", min(line) AS first_line, max(line) AS last_line FROM findings GROUP BY file"),

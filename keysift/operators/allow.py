@@ -50,12 +50,16 @@ def is_rule_allowed(secret: Column, rule_idx: Column, pack: RulePack) -> Column:
     return _any(checks)
 
 
+def mentions_marker(text: Column, markers: tuple[str, ...] = DEFAULT_MARKERS) -> Column:
+    """Some marker is anywhere in the text; without one no line needs a closer look."""
+    return text.rlike("(?iu)" + "|".join(map(re.escape, markers)))
+
+
 def has_inline_allow(line: Column, markers: tuple[str, ...] = DEFAULT_MARKERS) -> Column:
     """The line carries a comment with one of the markers."""
     forms = [form.format(m=re.escape(marker)).replace(r"\s", r"[\t\n\f\r ]")
              for marker in markers for form in COMMENT_FORMS]
-    marked = _any([F.lower(line).contains(marker.lower()) for marker in markers])
-    return marked & _any([line.rlike("(?iu)" + form) for form in forms])
+    return _any([line.rlike("(?iu)" + form) for form in forms])
 
 
 def drop_allowed_commits(df: DataFrame, pack: RulePack, commit: str = "commit") -> DataFrame:
@@ -68,4 +72,4 @@ def drop_allowed_commits(df: DataFrame, pack: RulePack, commit: str = "commit")
 
 
 __all__ = ["COMMENT_FORMS", "DEFAULT_MARKERS", "drop_allowed_commits", "has_inline_allow",
-           "has_stopword", "is_allowed_path", "is_globally_allowed", "is_rule_allowed"]
+           "has_stopword", "is_allowed_path", "is_globally_allowed", "is_rule_allowed", "mentions_marker"]

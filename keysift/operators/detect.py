@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keysift.functions.text import let, match_context, sql_string
-from keysift.operators.allow import DEFAULT_MARKERS, has_inline_allow
+from keysift.operators.allow import DEFAULT_MARKERS, has_inline_allow, mentions_marker
 from keysift.rules.pack import CompiledRule, RulePack
 
 # Common parts of keywords, rarest first.  A text without the part cannot hold any keyword
@@ -26,7 +26,7 @@ KEYWORD_PARTS = ("://", "cret", "wd", "key", "_", "-")
 # Characters from frequent to rare in prose and source text; all others count as rarer.
 COMMON_FIRST = " etaoinsrhldcumfpgwybvk.,-_xjqz"
 RULES_PER_MASK = 60
-BLOCK = 256
+BLOCK = 128
 
 
 def _needed_keywords(keywords: tuple[str, ...]) -> list[str]:
@@ -101,38 +101,53 @@ def _tail(s: Column) -> Column:
     return F.length(F.substring_index(s, "\n", -1))
 
 
-def _place(before: Column, piece: Column) -> Column:
-    """Where a piece (the text before a match, then the match) lies, given the place before it."""
-    gap_lines, gap_tail = piece["gap_lines"], piece["gap_tail"]
-    line = before["end_line"] + gap_lines
-    column = F.when(gap_lines > 0, gap_tail + 1).otherwise(before["end_column"] + gap_tail)
-    start = before["end"] + piece["gap_length"]
-    inside, inside_tail = piece["match_lines"], piece["match_tail"]
-    return F.struct(
-        piece["match"].alias("match"), start.alias("start"), line.alias("line"), column.alias("column"),
-        (start + piece["match_length"]).alias("end"), (line + inside).alias("end_line"),
-        F.when(inside > 0, inside_tail + 1).otherwise(column + inside_tail).alias("end_column"))
+def _at_match(before: Column, piece: Column) -> dict[str, Column]:
+    """Offset, line and column of a match, from the place where its piece (gap, then match) starts."""
+    return {"at": before["at"] + piece["gap_length"], "line": before["line"] + piece["gap_lines"],
+            "column": (F.when(piece["gap_lines"] > 0, piece["gap_tail"] + 1)
+                       .otherwise(before["column"] + piece["gap_tail"]))}
 
 
-def _running(pieces: Column, first: Column) -> Column:
-    """``_place`` carried along the pieces.
+def _after(before: Column, piece: Column) -> Column:
+    """The place where the next piece starts."""
+    here = _at_match(before, piece)
+    return F.struct((here["at"] + piece["match_length"]).alias("at"),
+                    (here["line"] + piece["match_lines"]).alias("line"),
+                    F.when(piece["match_lines"] > 0, piece["match_tail"] + 1)
+                    .otherwise(here["column"] + piece["match_tail"]).alias("column"))
 
-    A growing array inside ``aggregate`` is copied at every step, so pieces go in blocks: the
-    inner run grows to BLOCK entries, the outer one by one entry per block.
+
+def _placed(before: Column, piece: Column) -> Column:
+    here = _at_match(before, piece)
+    return F.struct(piece["match"].alias("match"), here["at"].alias("start"), here["line"].alias("line"),
+                    here["column"].alias("column"), (here["at"] + piece["match_length"]).alias("end"),
+                    (here["line"] + piece["match_lines"]).alias("end_line"))
+
+
+def _running(pieces: Column) -> Column:
+    """``_placed`` for every piece, each from the place where the one before it ended.
+
+    ``aggregate`` copies its state at every step, so the state is three numbers, kept for one
+    block of pieces at a time: first the place where each block starts, then the places inside.
     """
-    def block(start: Column, items: Column) -> Column:
-        return F.aggregate(items, F.array(start), lambda done, piece: F.concat(
-            done, F.array(_place(F.element_at(done, -1), piece))))
+    first = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(1).alias("column"))
+
+    def states(items: Column, start: Column, step) -> Column:
+        """The start, and the state after each item but the last."""
+        grown = F.aggregate(items, F.array(start), lambda done, item: F.concat(
+            done, F.array(step(F.element_at(done, -1), item))))
+        return F.slice(grown, F.lit(1), F.size(items))
+
+    def in_blocks(blocks: Column) -> Column:
+        starts = states(blocks, first, lambda before, block: F.aggregate(block, before, _after))
+        return F.flatten(F.zip_with(blocks, starts, lambda block, start: F.zip_with(
+            states(block, start, _after), block, _placed)))
 
-    def all_blocks(items: Column) -> Column:
-        starts = F.sequence(F.lit(0), ((F.size(items) - 1) / BLOCK).cast("int"))
-        blocks = F.transform(starts, lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
-        runs = F.aggregate(blocks, F.array(F.array(first)), lambda done, items: F.concat(
-            done, F.array(block(F.element_at(F.element_at(done, -1), -1), items))))
-        return F.flatten(F.transform(F.slice(runs, F.lit(2), F.size(blocks)),
-                                     lambda run: F.slice(run, F.lit(2), F.size(run) - 1)))
+    def cut(items: Column) -> Column:
+        numbers = F.sequence(F.lit(0), ((F.size(items) - 1) / BLOCK).cast("int"))
+        return let(F.transform(numbers, lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK))), in_blocks)
 
-    return let(pieces, all_blocks)
+    return let(pieces, cut)
 
 
 def _locate(text: Column, hit: Column, patterns: Column, markers: tuple[str, ...] | None,
@@ -147,24 +162,31 @@ def _locate(text: Column, hit: Column, patterns: Column, markers: tuple[str, ...
         match.alias("match"), F.length(gap).alias("gap_length"), _newlines(gap).alias("gap_lines"),
         _tail(gap).alias("gap_tail"), F.length(match).alias("match_length"),
         _newlines(match).alias("match_lines"), _tail(match).alias("match_tail")))
-    first = F.struct(F.lit("").alias("match"), F.lit(0).alias("start"), F.lit(1).alias("line"),
-                     F.lit(1).alias("column"), F.lit(0).alias("end"), F.lit(1).alias("end_line"),
-                     F.lit(1).alias("end_column"))
-    placed = _running(F.slice(pieces, F.lit(1), F.size(hit["found"])), first)
+    placed = _running(F.slice(pieces, F.lit(1), F.size(hit["found"])))
 
-    def row(lines: Column, p: Column) -> Column:
+    def row(lines: Column, allowed: Column, p: Column) -> Column:
         last_line = p["end_line"] - p["match"].endswith("\n").cast("int")
         fields = [hit["rule_idx"].alias("rule_idx"), p["match"].alias("match"), p["start"].alias("start"),
                   p["end"].alias("end"), p["line"].alias("line"), p["column"].alias("column")]
         if markers is not None:
-            fields.append(has_inline_allow(F.element_at(lines, p["line"]), markers).alias("inline_allow"))
+            fields.append(F.coalesce(F.element_at(allowed, p["line"]), F.lit(False)).alias("inline_allow"))
         if context is not None:
             fields.append(match_context(lines, p["line"], last_line, context).alias("context"))
         return F.struct(*fields)
 
+    nothing = F.lit(None)
     if markers is None and context is None:
-        return F.transform(placed, lambda p: row(F.lit(None), p))
-    return let(F.split(text, "\n", -1), lambda lines: F.transform(placed, lambda p: row(lines, p)))
+        return F.transform(placed, lambda p: row(nothing, nothing, p))
+    lines = F.split(text, "\n", -1)
+    if markers is None:
+        return let(lines, lambda lines: F.transform(placed, lambda p: row(lines, nothing, p)))
+    # Lines are judged once each, however many matches they hold.
+    judged = F.when(mentions_marker(text, markers),
+                    F.transform(lines, lambda line: has_inline_allow(line, markers)))
+    if context is None:
+        return let(judged, lambda allowed: F.transform(placed, lambda p: row(nothing, allowed, p)))
+    return let(lines, lambda lines: let(judged, lambda allowed: F.transform(
+        placed, lambda p: row(lines, allowed, p))))
 
 
 def rule_matches(df: DataFrame, pack: RulePack, text: str, keyless: str = "never",

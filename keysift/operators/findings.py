@@ -96,11 +96,6 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("findings"))
 
 
-def rule_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("rule_id").agg(F.count("*").alias("findings"),
-                                           F.countDistinct("file").alias("files"))
-
-
 def file_summary(findings: DataFrame) -> DataFrame:
     """One row per file: counts instead of lists, so a file with very many findings stays one small row.
 
@@ -121,11 +116,14 @@ def findings_by_file(findings: DataFrame) -> DataFrame:
 def report_summary(findings: DataFrame, files_scanned: DataFrame | None = None,
                    commits_scanned: DataFrame | None = None) -> DataFrame:
     """One row with totals and the summary line; the scanned counts are one-row frames."""
-    total = findings.agg(F.count("*").alias("findings"))
-    for frame, name in ((files_scanned, "files_scanned"), (commits_scanned, "commits_scanned")):
-        column = frame.agg(F.max(frame.columns[0]).alias(name)) if frame is not None else None
-        total = (total.crossJoin(column) if column is not None  # one row each
-                 else total.withColumn(name, F.lit(0).cast("bigint")))
+    names = ("findings", "files_scanned", "commits_scanned")
+    parts = [findings.agg(F.count("*").alias("findings"))]
+    parts += [frame.toDF(name) for frame, name in zip((files_scanned, commits_scanned), names[1:]) if frame is not None]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    total = rows.agg(*[F.coalesce(F.max(n) if n in rows.columns else F.lit(None), F.lit(0)).cast("bigint").alias(n)
+                       for n in names])
     return total.withColumn("summary", F.concat_ws(
         ", ", F.format_string("Found %d secrets", "findings"),
         F.when(F.col("files_scanned") > 0, F.format_string("scanned %d files", "files_scanned")),

@@ -51,13 +51,6 @@ def scan_history(commit_files: DataFrame, pack: RulePack, digest: str | None = N
     return as_findings(placed, "file", commit="commit")
 
 
-def first_seen(history_findings: DataFrame, commits: DataFrame) -> DataFrame:
-    """The earliest commit of each finding that lives in several commits."""
-    order = commits.select("commit", "commit_seq").distinct()
-    return (history_findings.join(order, "commit").groupBy("fingerprint")
-            .agg(F.min_by("commit", "commit_seq").alias("commit"), F.count("*").alias("commits")))
-
-
 def commits_scanned(commit_files: DataFrame) -> DataFrame:
     return commit_files.agg(F.countDistinct("commit").alias("commits_scanned"))
 
@@ -67,5 +60,5 @@ def only_changed(files: DataFrame, changed: DataFrame, path: str = "path") -> Da
     return files.join(changed.select(path).distinct(), path, "left_semi")
 
 
-__all__ = ["commit_range", "commits_scanned", "first_seen", "only_changed", "salted_join",
+__all__ = ["commit_range", "commits_scanned", "only_changed", "salted_join",
            "scan_history"]

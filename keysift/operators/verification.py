@@ -30,8 +30,8 @@ def verifier_of(rule_id: Column) -> Column:
 def detect_provider(secret: Column, fixed: bool = False) -> Column:
     """Provider by prefix; empty when unknown.
 
-    As the tool it follows does, keys starting with ``sk-ant-api-`` come out as openai;
-    ``fixed=True`` tells them apart.
+    Keys starting with ``sk-ant-api-`` come out as openai, because only nine characters are
+    compared with that prefix; ``fixed=True`` tells them apart.
     """
     size = F.octet_length(secret)
 

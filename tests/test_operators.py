@@ -121,8 +121,6 @@ def test_history_equals_plain_scan(spark):
     hashed = frame.withColumn("blob", F.sha1("content"))
     assert sorted(map(str, history.scan_history(hashed, pack, digest="blob").select(columns).collect())) == want
     assert history.commit_range(frame, 3, 5).select("commit").distinct().count() == 2
-    first = history.first_seen(history.scan_history(frame, pack), frame).collect()
-    assert len(first) == len({r.fingerprint for r in plain.collect()})
 
 
 def test_changed_and_roots(texts):
