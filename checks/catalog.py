@@ -416,6 +416,8 @@ def q_baseline_resolved(spark, folder):
 
 def _compared(spark, folder, key="fingerprint") -> DataFrame:
     old, new = _old_new(spark, folder)
+    if key != "fingerprint":  # read twice by that comparison
+        old, new = materialized(old), materialized(new)
     return baseline.compare_with_baseline(new, old, key)
 
 

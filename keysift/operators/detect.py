@@ -150,14 +150,27 @@ def _running(pieces: Column) -> Column:
     return let(pieces, cut)
 
 
-def _locate(text: Column, hit: Column, patterns: Column, markers: tuple[str, ...] | None,
+def _searched(text: Column, ending: Column) -> Column:
+    """The text up to the last ``ending``; no match that ends with it can lie beyond.
+
+    Java's matcher tries every start anew.  A log full of ``redis://host:port`` without an ``@``
+    would be read to its end from each of them; cut this way, the first start that gets so far
+    is a match and the search goes on behind it.
+    """
+    beyond = F.call_function("substring_index", text, ending, F.lit(-1))
+    return F.left(text, F.length(text) - F.length(beyond))
+
+
+def _locate(text: Column, hit: Column, patterns: Column, endings: Column, markers: tuple[str, ...] | None,
             context: int | None) -> Column:
     """The matches of one rule in one text, with their places.
 
     Splitting by the same pattern gives the stretches between the matches, and their lengths and
     line feeds give the places in one walk over the text.
     """
-    gaps = F.split(text, F.element_at(patterns, hit["place"] + 1), -1)
+    ending = F.element_at(endings, hit["place"] + 1)
+    searched = F.when(ending == "", text).otherwise(_searched(text, ending))
+    gaps = F.split(searched, F.element_at(patterns, hit["place"] + 1), -1)
     pieces = F.zip_with(hit["found"], gaps, lambda match, gap: F.struct(
         match.alias("match"), F.length(gap).alias("gap_length"), _newlines(gap).alias("gap_lines"),
         _tail(gap).alias("gap_tail"), F.length(match).alias("match_length"),
@@ -203,11 +216,14 @@ def rule_matches(df: DataFrame, pack: RulePack, text: str, keyless: str = "never
     if not rules:
         rules = [CompiledRule(0, None, r"[^\s\S]", ("-",))]  # matches nothing, keeps the columns
     body, name = F.col(text), f"`{text}`"
+    cut = "left({0}, length({0}) - length(substring_index({0}, {1}, -1)))"
     found = F.expr("array(%s)" % ", ".join(
-        f"named_struct('place', {place}, 'rule_idx', {rule.index}, 'found', CASE WHEN {_is_candidate(place)} "
-        f"THEN regexp_extract_all({name}, {sql_string(rule.java)}, 0) END)"
+        f"named_struct('place', {place}, 'rule_idx', {rule.index}, 'found', CASE WHEN {_is_candidate(place)} THEN "
+        f"regexp_extract_all({cut.format(name, sql_string(rule.ending)) if rule.ending else name}, "
+        f"{sql_string(rule.java)}, 0) END)"
         for place, rule in enumerate(rules)))
     patterns = F.expr("array(%s)" % ", ".join(sql_string(rule.java) for rule in rules))
+    endings = F.expr("array(%s)" % ", ".join(sql_string(rule.ending) for rule in rules))
     hits = F.filter(found, lambda hit: F.size(hit["found"]) > 0)
-    located = F.flatten(F.transform(hits, lambda hit: _locate(body, hit, patterns, markers, context)))
+    located = F.flatten(F.transform(hits, lambda hit: _locate(body, hit, patterns, endings, markers, context)))
     return candidate_masks(df, text, rules).select(*kept, F.inline(located))

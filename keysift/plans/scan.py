@@ -23,12 +23,13 @@ def scan_table(df: DataFrame, pack: RulePack | None = None, path: str = "path",
     """Findings of any frame with a path and a text column, batch or streaming.
 
     One narrow stage without a shuffle; rows are not deduplicated (see ``dedup``).  ``keep``
-    carries further input columns along, ``context=None`` leaves the context lines empty.
+    carries further input columns along, ``context=None`` leaves the context lines empty.  A text
+    without a path is scanned under the empty one.
     """
     pack = pack or builtin_pack()
     columns = dict.fromkeys([path, text, *([commit] if commit else []), *keep])
-    texts = gate_paths(df.select(*columns), pack, path)
-    matches = rule_matches(texts, pack, text, keyless, markers, context)
+    named = df.select(*columns).withColumn(path, F.coalesce(F.col(path), F.lit("")))
+    matches = rule_matches(gate_paths(named, pack, path), pack, text, keyless, markers, context)
     return as_findings(gate_matches(matches, pack), path, commit, verify, keep)
 
 

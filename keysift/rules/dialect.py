@@ -56,6 +56,7 @@ class PatternError(ValueError):
 class JavaPattern:
     text: str
     min_width: int  # least number of characters a match can have
+    ending: str = ""  # the one character that every match ends with, if there is one
 
 
 class _Part(NamedTuple):
@@ -63,6 +64,7 @@ class _Part(NamedTuple):
     width: int
     firsts: frozenset[str] | None = frozenset()  # what a match can start with; None is anything
     repeatable: bool = True
+    ending: str = ""
 
 
 def translate(pattern: str) -> JavaPattern:
@@ -70,7 +72,7 @@ def translate(pattern: str) -> JavaPattern:
     part = reader.alternatives(_Flags())
     if reader.more():
         raise PatternError(f"unexpected ) in {pattern!r}")
-    return JavaPattern(_look_first(part), part.width)
+    return JavaPattern(_look_first(part), part.width, part.ending)
 
 
 def _look_first(part: _Part) -> str:
@@ -136,27 +138,29 @@ class _Reader:
             self.at += 1
             branches.append(self.sequence(flags))
         firsts = [b.firsts for b in branches]
+        endings = {b.ending for b in branches}
         return _Part("|".join(b.text for b in branches), min(b.width for b in branches),
-                     None if None in firsts else frozenset().union(*firsts))
+                     None if None in firsts else frozenset().union(*firsts),
+                     ending=endings.pop() if len(endings) == 1 else "")
 
     def sequence(self, flags: _Flags) -> _Part:
-        out, total, firsts = [], 0, frozenset()
+        out, total, firsts, ending = [], 0, frozenset(), ""
         while self.more() and self.source[self.at] not in "|)":
             if self.peek("\\Q"):
                 self.unquote()
                 continue
             part = self.atom(flags)
-            text, width = part.text, part.width
+            text, width, ending = part.text, part.width, part.ending
             if part.repeatable:
                 suffix, least = self.repetition(flags)
                 if suffix and width == 0:
                     text = f"(?:{text})"
-                text, width = text + suffix, width * least
+                text, width, ending = text + suffix, width * least, "" if suffix else ending
             if total == 0 and firsts is not None:
                 firsts = None if part.firsts is None else firsts | part.firsts
             out.append(text)
             total += width
-        return _Part("".join(out), total, firsts)
+        return _Part("".join(out), total, firsts, ending=ending)
 
     def unquote(self) -> None:
         """Put the escaped form of a \\Q...\\E text in its place."""
@@ -213,7 +217,7 @@ class _Reader:
             return self.escape(flags)
         if ch in "*+?":
             raise PatternError(f"nothing to repeat in {self.source!r}")
-        return _Part(_literal(ch), 1, _first_of(ch, flags))
+        return _Part(_literal(ch), 1, _first_of(ch, flags), ending="" if flags.i and ch.isalpha() else ch)
 
     def group(self, flags: _Flags) -> _Part:
         inner, opening = flags.copy(), "("

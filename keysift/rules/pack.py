@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from keysift.rules.dialect import PatternError, translate
+from keysift.rules.dialect import JavaPattern, PatternError, translate
 
 DEFAULT_SEVERITY = "medium"
 DEFAULT_ENTROPY = 3.0
@@ -61,6 +61,7 @@ class CompiledRule:
     rule: Rule
     java: str
     keywords: tuple[str, ...]
+    ending: str = ""  # every match ends with this character, and may reach far to find it
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ class RulePack:
     declared: tuple[Rule, ...] = field(default=(), repr=False)  # rules before defaults
 
     @cached_property
-    def _checked(self) -> tuple[dict[int, str], list[tuple[int, str, str, str]]]:
+    def _checked(self) -> tuple[dict[int, JavaPattern], list[tuple[int, str, str, str]]]:
         good, bad = {}, []
         for index, rule in enumerate(self.rules):
             if not rule.regex:
@@ -86,7 +87,7 @@ class RulePack:
             if java.min_width == 0:
                 bad.append((index, rule.id, rule.regex, "pattern can match the empty text"))
             else:
-                good[index] = java.text
+                good[index] = java
         return good, bad
 
     @property
@@ -96,7 +97,7 @@ class RulePack:
 
     @property
     def has_keywords(self) -> bool:
-        return any(rule.keywords for rule in self.rules)
+        return any(k for rule in self.rules for k in rule.keywords)
 
     def compiled(self, keyless: str = "never") -> list[CompiledRule]:
         """The rules that can fire.
@@ -106,12 +107,12 @@ class RulePack:
         """
         if keyless not in ("never", "always"):
             raise ValueError(f"keyless must be never or always, not {keyless!r}")
-        skip_keyless = self.has_keywords and keyless == "never"
-        return [CompiledRule(index, self.rules[index], java,
-                             tuple(dict.fromkeys(k.lower() for k in self.rules[index].keywords))
-                             if self.has_keywords else ())
-                for index, java in self._checked[0].items()
-                if self.rules[index].keywords or not skip_keyless]
+        gated = self.has_keywords
+        rules = [CompiledRule(index, self.rules[index], java.text,
+                              tuple(dict.fromkeys(k.lower() for k in self.rules[index].keywords if k)),
+                              java.ending if "[^" in java.text else "")
+                 for index, java in self._checked[0].items()]
+        return [rule for rule in rules if rule.keywords or not gated or keyless == "always"]
 
     def allow_patterns(self, kind: str) -> list[str]:
         """Spark patterns of the global allowlist's ``paths`` or ``regexes``; bad ones are left out."""
