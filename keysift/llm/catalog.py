@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysift.llm import exact_dedup, simhash
+from keysift.llm import decontaminate, exact_dedup, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,12 +17,23 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("digest").alias("text_sha256"))
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"),
+                                        keep=["doc_id"])
+    n_hit = F.expr("aggregate(found.hits, 0L, (n, x) -> n + x.end - x.start)")
+    return found.select("row.doc_id", "found.n_words", n_hit.alias("n_hit"),
+                        F.size("found.items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (n_hit > 0).alias("contaminated"), "found.spans")
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_simhash": op3_simhash,
     "op7_exact_dedup": op7_exact_dedup,
 }
