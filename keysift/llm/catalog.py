@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysift.llm import decontaminate, exact_dedup, simhash
+from keysift.llm import bpe, decontaminate, exact_dedup, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,7 +32,15 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(_table(spark, folder, "documents"), keep=["doc_id"]))
+    return coded.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op8_byte_bpe": op8_byte_bpe,
     "op1_decontamination": op1_decontamination,
     "op3_simhash": op3_simhash,
     "op7_exact_dedup": op7_exact_dedup,
