@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysift.llm import bpe, decontaminate, exact_dedup, simhash
+from keysift.llm import bpe, decontaminate, exact_dedup, secret_index, simhash, url_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,24 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = url_rules.judge(_table(spark, folder, "pages"), _table(spark, folder, "labels"))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "mined")
+
+
+def op6_secret_index(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_index.scan(_table(spark, folder, "documents"), keep=["doc_id"])
+    base = F.filter("secrets", lambda x: x["kind"].isin([r.kind for r in secret_index.BASE]))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counts = [F.expr(f"size(filter(secrets, x -> x.kind = '{r.kind}'))").cast("bigint").alias(f"n_{r.kind}")
+              for r in secret_index.BASE]
+    return found.select("row.doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("secrets")).alias("spans"))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(_table(spark, folder, "documents"), keep=["doc_id"]))
     return coded.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
@@ -41,6 +59,8 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
+    "op5_url_rules": op5_url_rules,
+    "op6_secret_index": op6_secret_index,
     "op1_decontamination": op1_decontamination,
     "op3_simhash": op3_simhash,
     "op7_exact_dedup": op7_exact_dedup,
