@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysift.llm import bpe, decontaminate, exact_dedup, secret_index, simhash, url_rules
+from keysift.llm import bpe, decontaminate, exact_dedup, secret_index, simhash, url_rules, warc
+from keysift.sources.staging import Staging
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +28,17 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
                         (n_hit > 0).alias("contaminated"), "found.spans")
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    staging = Staging(spark, "warc")
+    index = warc.write_archives(_table(spark, folder, "pages"), staging)
+    records = warc.read_records(index, staging.path("archives"))
+    read = F.col("record_type") == "response"
+    return records.select(F.col("id").alias("page_id"),
+                          F.when(read, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+                          F.when(read, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
+                          "record_type", "refers_to")
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
@@ -58,6 +70,7 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op5_url_rules": op5_url_rules,
     "op6_secret_index": op6_secret_index,
@@ -67,6 +80,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                          min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+             r AS (SELECT *, payload_bytes >= 100 AND page_id <> first AS again FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first END AS refers_to FROM r""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
