@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysift.llm import bpe, decontaminate, exact_dedup, secret_index, simhash, url_rules, warc
+from keysift.llm import bpe, decontaminate, exact_dedup, langid, secret_index, simhash, url_rules, warc
 from keysift.sources.staging import Staging
 
 
@@ -69,7 +69,16 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
 
 
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held = langid.held_out(docs["doc_id"], 4, 2)
+    model = langid.fit(docs.filter(~held & docs["doc_id"].isNotNull()))
+    found = langid.predict(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 QUERIES = {
+    "op10_language": op10_language,
     "op2_warc": op2_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op5_url_rules": op5_url_rules,
