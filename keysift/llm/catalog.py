@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysift.llm import bpe, decontaminate, exact_dedup, langid, secret_index, simhash, url_rules, warc
+from keysift.llm import bpe, decontaminate, exact_dedup, langid, quality, secret_index, simhash, url_rules, warc
 from keysift.sources.staging import Staging
 
 
@@ -77,7 +77,16 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held = langid.held_out(docs["doc_id"], 5, 0)
+    model = quality.fit(docs.filter(~held), _table(spark, folder, "labels"))
+    found = quality.predict(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op9_quality": op9_quality,
     "op10_language": op10_language,
     "op2_warc": op2_warc,
     "op8_byte_bpe": op8_byte_bpe,
