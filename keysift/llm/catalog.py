@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysift.llm import bpe, decontaminate, exact_dedup, langid, quality, secret_index, simhash, url_rules, warc
+from keysift.llm import bpe, decontaminate, exact_dedup, langid, quality, secret_index, simhash, token_files, url_rules, warc
 from keysift.sources.staging import Staging
 
 
@@ -44,6 +44,16 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    staging = Staging(spark, "tokens")
+    written = token_files.write_tokens(_table(spark, folder, "documents"), staging)
+    files = token_files.list_files(spark, staging.path("tokens")).withColumn("name", F.substring_index("file", "/", -1))
+    files = files.join(written.select(F.col("file").alias("name")).distinct(), "name", "left_semi")
+    counted = token_files.count_tokens(files.select("file", "bytes"), staging)
+    return (counted.select(F.substring_index("file", "/", -1).alias("file"), "number", "n_tokens")
+            .join(written, ["file", "number"]).select(F.col("id").alias("doc_id"), "n_tokens"))
+
+
 def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = url_rules.judge(_table(spark, folder, "pages"), _table(spark, folder, "labels"))
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "mined")
@@ -86,15 +96,16 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op9_quality": op9_quality,
-    "op10_language": op10_language,
+    "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
-    "op8_byte_bpe": op8_byte_bpe,
+    "op3_simhash": op3_simhash,
+    "op4_token_counts": op4_token_counts,
     "op5_url_rules": op5_url_rules,
     "op6_secret_index": op6_secret_index,
-    "op1_decontamination": op1_decontamination,
-    "op3_simhash": op3_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_quality": op9_quality,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL = {
