@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model of the rows of ``docs`` that ``labels`` mark with 1 or 0."""
     texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     marks = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
-    ratios, good, bad = log_ratios(texts.join(marks, "id").select("text", "label"))
+    # always a sort-merge join: the plan, and what it moves, is of one kind at every size
+    ratios, good, bad = log_ratios(texts.join(marks.hint("merge"), "id").select("text", "label"))
     if not good or not bad:
         share = good / (good + bad) if good + bad else 0.5
         odds = float(np.clip(np.log(share / (1 - share)) if 0 < share < 1 else (40 if share else -40), -40, 40))
