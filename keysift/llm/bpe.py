@@ -27,9 +27,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from keysift.llm.words import slices
+from keysift.llm.words import carried, slices
 
 KEPT = 300_000
 SHORT = 48
@@ -142,13 +142,13 @@ def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     ``starts`` and ``ends`` of the tokens in characters where ``offsets`` are asked for.  ``file`` must be readable on all executors."""
     where, rule = public_ranks()
     where, rule = file or where, pattern or rule
-    out = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs[text_col].cast("string").alias("text"))
+    out, texts_of = carried(docs, text_col, keep)
     names = ["row", "ids", *(["starts", "ends"] if offsets else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = codec(where, rule)
-        for batch in slices(batches, "text", 2 << 20):
-            texts = pc.fill_null(batch.column("text"), "").to_pylist()
+        for batch in slices(batches, texts_of):
+            texts = pc.fill_null(texts_of(batch), "").to_pylist()
             ids = by.encode(texts)
             columns = [batch.column("row"), _lists(ids, pa.int32())]
             if offsets:

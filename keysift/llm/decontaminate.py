@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from keysift.llm.fm_index import FmIndex
-from keysift.llm.words import LOWER, WORD_BYTES, column_bytes, find_words, slices, word_hash
+from keysift.llm.words import LOWER, WORD_BYTES, carried, column_bytes, find_words, slices, word_hash
 
 SHARD = 1 << 18
 BLOCK = 16 << 20
@@ -142,21 +142,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """(row, found) for every row of ``docs``: ``row`` is the row as a struct (of the columns ``keep``, or all), ``found`` holds the number of words, merged
     spans of hit words (``hits``, in words; ``spans``, in characters; ends exclusive) and the sorted ids of the items that occur."""
     spark = docs.sparkSession
-    out = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"),
-                      docs[text_col].cast("string").alias("text"))
-    row, text = out.schema.fields
+    out, texts = carried(docs, text_col, keep)
+    row, *text = out.schema.fields
     for block, last in _blocks(benchmark, item_id, item_text):
         shared = spark.sparkContext.broadcast(Windows(block, size))
-        names = ["row", "found"] if last else ["row", "found", "text"]
+        fields = [row, T.StructField("found", FOUND), *([] if last else text)]
 
-        def search(batches, shared=shared, names=names):
-            for batch in slices(batches, "text"):
+        def search(batches, shared=shared, names=[f.name for f in fields]):
+            for batch in slices(batches, texts):
                 prior = batch.column("found") if "found" in batch.schema.names else None
-                found = _search(batch.column("text"), prior, shared.value)
-                columns = {"row": batch.column("row"), "found": found, "text": batch.column("text")}
+                columns = {x: batch.column(x) for x in batch.schema.names} | {"found": _search(texts(batch), prior, shared.value)}
                 yield pa.RecordBatch.from_arrays([columns[x] for x in names], names)
 
-        out = out.mapInArrow(search, T.StructType([row, T.StructField("found", FOUND), text][:len(names)]))
+        out = out.mapInArrow(search, T.StructType(fields))
     return out
 
 

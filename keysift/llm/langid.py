@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from keysift.llm.words import Words, byte_class, column_bytes, find_words, slices
+from keysift.llm.words import Words, byte_class, carried, column_bytes, find_words, slices, text_column
 from keysift.sources.staging import Staging
 
 CUT = 24
@@ -191,7 +191,7 @@ def count_words(docs: DataFrame, lang_col: str, text_col: str, staging: Staging)
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, text_column, 4 << 20):
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
                 data, _, words = _lowered(batch.column("text").filter(pa.array(langs == lang)))
@@ -259,18 +259,18 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", file: s
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, lang_pred, score): the row as a struct (of the columns ``keep``, or all) and its language."""
-    text = docs[text_col].cast("string")
-    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    out = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), text.alias("text"), letters.alias("able"))
+    out, texts = carried(docs, text_col, keep)
+    text = F.col("row")[text_col] if "text" not in out.columns else F.col("text")
+    out = out.withColumn("able", F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["row", "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, texts):
             able = batch.column("able").to_numpy(zero_copy_only=False).astype(bool)
             if now.languages:
-                best, score = now.judge(batch.column("text"))
+                best, score = now.judge(texts(batch))
                 langs = np.where(able, np.array(now.languages, object)[best], "und")
             else:
                 langs, score = np.full(len(able), "und", object), np.zeros(len(able))

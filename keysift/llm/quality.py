@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from keysift.llm.words import LOWER, WORD_BYTES, byte_class, column_bytes, find_words, slices
+from keysift.llm.words import LOWER, WORD_BYTES, byte_class, carried, column_bytes, find_words, slices, text_column
 
 BUCKETS = 1 << 18
 SAMPLE = 10_000
@@ -79,7 +79,7 @@ def log_ratios(labelled: DataFrame) -> tuple[np.ndarray, int, int]:
         sums = np.zeros((2, BUCKETS), np.int64)
         n = np.zeros(2, np.int64)
         for batch in batches:
-            for part in slices(iter([batch]), "text"):
+            for part in slices(iter([batch]), text_column):
                 label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
                 text, bucket = features(part.column("text"))
                 for k in (0, 1):
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = (marks.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "label").limit(SAMPLE))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, text_column):
             text, bucket = features(batch.column("text"))
             sizes = np.bincount(text, minlength=batch.num_rows)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(bucket.astype(np.int32)))
@@ -190,11 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, score): the row as a struct (of the columns ``keep``, or all) and the chance that its label is 1."""
-    out = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs[text_col].cast("string").alias("text"))
+    out, texts = carried(docs, text_col, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shared.value.score(batch.column("text")))], ["row", "score"])
+        for batch in slices(batches, texts):
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shared.value.score(texts(batch)))], ["row", "score"])
 
     return out.mapInArrow(run, T.StructType([out.schema["row"], T.StructField("score", T.DoubleType())]))

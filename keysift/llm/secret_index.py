@@ -20,9 +20,9 @@ from re import _constants as op, _parser as parser
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from keysift.llm.words import LOWER, column_bytes, slices
+from keysift.llm.words import LOWER, carried, column_bytes, slices
 
 #: Queries are ALL (no trigram is needed), a trigram as bytes, or ("and" | "or", parts).
 ALL = None
@@ -191,14 +191,14 @@ class Index:
 
 def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """(row, secrets): the row as a struct (of the columns ``keep``, or all) and the spans in it by start, then in order of the rules."""
-    out = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs[text_col].cast("string").alias("text"))
+    out, texts = carried(docs, text_col, keep)
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                                      T.StructField("end", T.LongType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(rules)
-        for batch in slices(batches, "text", 2 << 20):
-            found = pa.array(index.search(batch.column("text")), pa.list_(SPAN))
+        for batch in slices(batches, texts):
+            found = pa.array(index.search(texts(batch)), pa.list_(SPAN))
             yield pa.RecordBatch.from_arrays([batch.column("row"), found], ["row", "secrets"])
 
     return out.mapInArrow(run, T.StructType([out.schema["row"], T.StructField("secrets", kind)]))

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from keysift.llm import bpe
-from keysift.llm.words import slices
+from keysift.llm.words import slices, text_column
 from keysift.sources.staging import Staging
 
 BLOCK = 32 << 20
@@ -89,7 +89,7 @@ def write_tokens(docs: DataFrame, staging: Staging, id_col: str = "doc_id", text
         by, (store, base) = bpe.codec(where, rule), _store(folder)
         name, out, number = f"{uuid.uuid4().hex}.bin", None, 0
         try:
-            for batch in slices(batches, "text", 2 << 20):
+            for batch in slices(batches, text_column):
                 if out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}", compression=None)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -45,10 +46,22 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def carried(docs: DataFrame, text_col: str, keep: list[str] | None = None) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """Rows as one struct ``row`` (of the columns ``keep``, or all), so that no name can clash, and what gives a batch's texts.
+
+    A text that is among the kept columns is not sent a second time.
+    """
+    names = keep or docs.columns
+    row = F.struct(*[docs[c] for c in names]).alias("row")
+    if text_col in names and docs.schema[text_col].dataType == T.StringType():
+        return docs.select(row), lambda batch: batch.column("row").field(text_col)
+    return docs.select(row, docs[text_col].cast("string").alias("text")), lambda batch: batch.column("text")
+
+
+def slices(batches: Iterator[pa.RecordBatch], texts: Callable[[pa.RecordBatch], pa.Array], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice has about ``most`` bytes of text, one row at least."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(texts(batch)), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
@@ -57,6 +70,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             start = stop
 
 
+def text_column(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column("text")
+
+
 @dataclass
 class Words:
     """Words of some texts: byte places, a 64-bit hash each, and where each text's words begin."""
