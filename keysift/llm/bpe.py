@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, types as T
 
 from keysift.llm.words import carried, slices
 
-KEPT = 300_000
+KEPT = 100_000
 SHORT = 48
 MORE = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
 OFFSETS = [T.StructField("starts", T.ArrayType(T.IntegerType(), False)), T.StructField("ends", T.ArrayType(T.IntegerType(), False))]

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
 WINDOW = 1 << 18
+BATCH_ROWS = 2000
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -46,11 +47,19 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long rows: lowers the session's Arrow batches to ``BATCH_ROWS`` rows, so that a batch stays at some megabytes in JVM and worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def carried(docs: DataFrame, text_col: str, keep: list[str] | None = None) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
     """Rows as one struct ``row`` (of the columns ``keep``, or all), so that no name can clash, and what gives a batch's texts.
 
     A text that is among the kept columns is not sent a second time.
     """
+    bound_batches(docs.sparkSession)
     names = keep or docs.columns
     row = F.struct(*[docs[c] for c in names]).alias("row")
     if text_col in names and docs.schema[text_col].dataType == T.StringType():
