@@ -18,7 +18,7 @@ import time
 from pyspark.sql import SparkSession, functions as F
 
 from checks.catalog import QUERIES
-from keysift.plans.corpus import document_corpus
+from checks.corpus import document_corpus
 
 HEADLINE = ("scan_table", "scan_files", "candidate_rules", "rule_matches", "match_context", "entropy",
             "scan_union_roots", "scan_custom_rule", "scan_history", "baseline_compare", "verify_join",

@@ -6,16 +6,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from checks import corpus as cp
 from keysift.functions import (adjusted_entropy, clip_match, has_symbol, is_all_lowercase, is_base64, is_hex,
                                is_one_case, is_sequential_or_repeated, redact)
 from keysift.operators import (allow, baseline, composite, detect, findings as fnd, gates, history,
                                verification as ver)
-from keysift.plans import (after_scan, archive_errors, files_scanned, layers_scanned, scan_archives,
+from keysift.plans import (after_scan, archive_errors, archive_metrics, files_scanned, scan_archives,
                            scan_composite, scan_files, scan_image_files, scan_roots, scan_table)
-from keysift.plans import corpus as cp
 from keysift.rules import builtin_pack, pack_from_dict, rules_frame
 from keysift.sinks import report
-from keysift.sources import checkpoint_folder, materialized
+from keysift.sources import materialized, read_files, files_as_text, shared_folder, skipped_files
 from keysift.streaming import report_once, suppress_known, window_counts, write_stream
 
 COMPOSITE = {"rules": [
@@ -117,8 +117,11 @@ def q_scan_changed(spark, folder):
     return _plain(scan_table(history.only_changed(new, changed)))
 
 
+IMAGE_LIMIT = 4_000_000
+
+
 def _archives(spark, folder) -> DataFrame:
-    """Documents packed into image archives, twenty per image and ten per layer."""
+    """Documents packed into image archives, twenty per image and ten per layer; some of either are broken, cut, empty or too large."""
     import gzip
     import io
     import tarfile
@@ -136,13 +139,20 @@ def _archives(spark, folder) -> DataFrame:
 
     def pack(frame):
         frame = frame.sort_values("doc_id")
-        layers = []
+        layers, image = [], int(frame["doc_id"].iloc[0]) // 20
         for number, rows in frame.groupby(frame["doc_id"] // 10):
             layer = tar(zip(rows["path"], rows["content"]))
-            layers.append((f"{number}/layer.tar", gzip.compress(layer) if number % 2 else layer))
+            layer = gzip.compress(layer) if number % 2 else layer
+            if number % 7 == 3:
+                layer = b"\x1f\x8bnot compressed at all"
+            elif number % 7 == 5:
+                layer = tar(zip(rows["path"], rows["content"]))[:520]  # ends within the first file
+            layers.append((f"{number}/layer.tar", layer))
         layers.append(("manifest.json", b"{}"))
-        image = frame["image"].iloc[0]
-        return pd.DataFrame([(image, tar(layers))], columns=["path", "content"])
+        if image % 5 == 2:
+            layers.insert(0, ("large.tar", bytes(IMAGE_LIMIT + 1)))
+        whole = b"no archive" if image % 11 == 4 else b"" if image % 11 == 6 else tar(layers)
+        return pd.DataFrame([(frame["image"].iloc[0], whole)], columns=["path", "content"])
 
     docs = cp.document_corpus(spark, folder).select(
         "doc_id", "path", F.encode("content", "UTF-8").alias("content"),
@@ -151,13 +161,47 @@ def _archives(spark, folder) -> DataFrame:
 
 
 def q_scan_archives(spark, folder):
-    return _plain(scan_archives(_archives(spark, folder)), "image", "layer")
+    return _plain(scan_archives(_archives(spark, folder), max_bytes=IMAGE_LIMIT), "image", "layer")
 
 
 def q_archive_metrics(spark, folder):
-    archives = materialized(_archives(spark, folder))
-    errors = archive_errors(archives).groupBy("image").agg(F.count("*").alias("errors"))
-    return layers_scanned(archives).join(errors, "image", "left").fillna(0, ["errors"])
+    return archive_metrics(_archives(spark, folder), IMAGE_LIMIT)
+
+
+def q_archive_errors(spark, folder):
+    """How many errors each layer has, and of what kind."""
+    errors = archive_errors(_archives(spark, folder), IMAGE_LIMIT)
+    kind = F.when(F.col("error").startswith("skipping large file"), "large").otherwise("unreadable")
+    return errors.groupBy("image", "layer", kind.alias("kind")).agg(F.count("*").alias("errors"))
+
+
+def q_skipped_files(spark, folder):
+    """Files that a scan leaves out, with the reason."""
+    return skipped_files(cp.file_corpus(spark, folder), builtin_pack(), max_bytes=20_000)
+
+
+def q_scan_tree(spark, folder):
+    """The documents written as one file each to the shared folder, listed, gated, read and scanned."""
+    base = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    write_files(cp.file_corpus(spark, folder).filter(~F.col("path").contains("..")), base).count()
+    texts = files_as_text(read_files(spark, base, builtin_pack(), relative=True))
+    return _plain(fnd.dedup(scan_table(texts)))
+
+
+def write_files(files: DataFrame, base: str) -> DataFrame:
+    """Each row's content as a file under ``base``; (path, length) of what was written."""
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        store, root = fs.FileSystem.from_uri(base if ":" in base.split("/", 1)[0] else "file://" + base)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                store.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{root}/{path}", compression=None) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([len(c) for c in batch.column("content").to_pylist()])],
+                                             ["path", "length"])
+    return materialized(files.select("path", "content").mapInArrow(write, "path string, length long"))
 
 
 def q_scan_union_roots(spark, folder):
@@ -416,9 +460,7 @@ def q_baseline_resolved(spark, folder):
 
 def _compared(spark, folder, key="fingerprint") -> DataFrame:
     old, new = _old_new(spark, folder)
-    if key != "fingerprint":  # read twice by that comparison
-        old, new = materialized(old), materialized(new)
-    return baseline.compare_with_baseline(new, old, key)
+    return baseline.compare_with_baseline(new, materialized(old), key)
 
 
 def q_baseline_compare(spark, folder):
@@ -428,7 +470,7 @@ def q_baseline_compare(spark, folder):
 
 def q_baseline_compare_stable(spark, folder):
     """By line-independent key: moved secrets stay existing."""
-    compared = _compared(spark, folder, "stable_fingerprint")
+    compared = _compared(spark, folder, "stable_key")
     return compared.groupBy("file", "rule_id", "status").agg(F.count("*").alias("findings"))
 
 
@@ -477,7 +519,7 @@ def q_report_json(spark, folder):
 
 def q_sink_jsonl(spark, folder):
     """Findings written as JSON Lines and read back."""
-    path = f"{checkpoint_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
     report.write_jsonl(_found(spark, folder, context=2), path)
     back = spark.read.schema("rule_id string, match string, file string, line bigint, column bigint, "
                              "fingerprint string, context array<string>").json(path)
@@ -523,7 +565,7 @@ def _stream_docs(spark, folder) -> DataFrame:
 
 def _run_stream(spark, stream: DataFrame) -> DataFrame:
     """The stream over everything there is now, written out and read back."""
-    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     write_stream(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 

@@ -71,6 +71,7 @@ PATHS = [
 ]
 PATH_KINDS = 19
 SNAPSHOTS = (1, 2, 3)
+TASKS = 16
 
 
 def _piece(piece: str | tuple, digest: str) -> str:
@@ -101,8 +102,13 @@ def planted(path: Column, line: Column) -> Column:
     return F.inline(F.array(F.struct(path.alias("path"), F.concat("text", line).alias("content"))))
 
 
+def _spread(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The small given tables have one row group, so one task each; their rows are dealt out in turn before they are planted."""
+    return read_text_table(spark, f"{folder}/{table}.parquet").repartition(TASKS)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read_text_table(spark, f"{folder}/documents.parquet", "doc_id").select("doc_id", "text")
+    return _spread(spark, folder, "documents").select("doc_id", "text")
 
 
 def document_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +129,7 @@ def file_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversation_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) for every turn of every conversation."""
-    turns = read_text_table(spark, f"{folder}/conversations.parquet", "conv_id")
+    turns = _spread(spark, folder, "conversations")
     return turns.select(F.concat(F.lit("chat/"), F.col("conv_id").cast("string"), F.lit("/"),
                                  F.col("turn").cast("string"), F.lit(".txt")).alias("path"),
                         F.concat("text", plant("conv_id * 100 + turn")).alias("content"))
@@ -131,7 +137,7 @@ def conversation_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) for every web page, as given."""
-    pages = read_text_table(spark, f"{folder}/pages.parquet", "page_id")
+    pages = _spread(spark, folder, "pages")
     return pages.select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
                         F.col("html").alias("content"))
 

@@ -11,14 +11,19 @@ from pathlib import Path
 
 import keysift.rules
 from checks.catalog import COMPOSITE, KEYLESS, _allowed_commits
-from keysift.operators.gates import SKIPPED_ENDINGS, SKIPPED_EXTENSIONS, SKIPPED_IN_COMMITS, SKIPPED_IN_IMAGES
-from keysift.plans.corpus import ALPHABETS, MARKER, PATH_KINDS, PATHS, PLANT_KINDS, PLANTS
+from checks.corpus import ALPHABETS, MARKER, PATH_KINDS, PATHS, PLANT_KINDS, PLANTS
 
 BUILTIN = tomllib.loads(Path(keysift.rules.__file__).with_name("builtin.toml").read_text(encoding="utf-8"))
 TOKENS = {"rules": [{"id": "hex-token", "description": "Hex token", "severity": "low", "entropy": 2.0,
                      "keywords": ["token"], "tags": ["token"],
                      "regex": r'(?i)\btoken\s*=\s*(?:"|&quot;)[0-9a-f]{40}(?:"|&quot;)'}]}
 NL = "chr(10)"
+# Written out here, so that a slip in the library's lists shows.
+SKIPPED_EXTENSIONS = (".jpg .jpeg .png .gif .pdf .doc .docx .xls .xlsx .zip .tar .gz .rar .exe .dll .so .dylib .ttf .woff .woff2 "
+                      ".eot .mp3 .mp4 .avi .mov").split()
+SKIPPED_ENDINGS = "package-lock.json yarn.lock Cargo.lock .min.js .min.css".split()
+SKIPPED_IN_IMAGES = ".exe .dll .so .dylib .bin .o .a .jpg .jpeg .png .gif .pdf .zip .tar .gz".split()
+SKIPPED_IN_COMMITS = "jpg jpeg png gif pdf doc docx xls xlsx zip tar gz exe dll so dylib".split()
 
 
 def lit(text: str) -> str:
@@ -301,6 +306,8 @@ BINARY = f"""SELECT doc_id, path, content, has_nul, coalesce(control > 0.3 * lea
     contains(content, chr(0)) AS has_nul, substr(hex(encode(content)), 1, 2048) AS bytes FROM ({FILES})))"""
 TEXT_FILES = f"""SELECT doc_id, path, content FROM ({BINARY})
     WHERE {file_gate(100 * 1024 * 1024)} AND NOT has_nul AND NOT control_heavy"""
+GOOD_IMAGE = "doc_id // 20 % 11 NOT IN (4, 6)"
+BAD_LAYER = "doc_id // 10 % 7 IN (3, 5)"
 IMAGE_FILES = f"SELECT * FROM ({FILES}) WHERE {EXTENSION} NOT IN {in_list(SKIPPED_IN_IMAGES)}"
 FILES_SCANNED = (f"SELECT count(*) AS files_scanned FROM ({FILES}) WHERE {file_gate(100 * 1024 * 1024)} "
                  f"AND NOT {path_allowed('path')}")
@@ -371,7 +378,8 @@ def twins() -> dict[str, str]:
     changed = f"""SELECT n.path, n.content FROM ({COMMITS}) n JOIN ({COMMITS}) o ON n.path = o.path
         WHERE n.step = 3 AND o.step = 2 AND n.content <> o.content"""
     layers = f"""SELECT 'image_' || CAST(doc_id // 20 AS VARCHAR) AS image,
-        CAST(doc_id // 10 AS VARCHAR) || '/layer.tar' AS layer, path, content FROM ({IMAGE_FILES.replace(FILES, DOCS)})"""
+        CAST(doc_id // 10 AS VARCHAR) || '/layer.tar' AS layer, path, content FROM ({IMAGE_FILES.replace(FILES, DOCS)})
+        WHERE {GOOD_IMAGE} AND NOT {BAD_LAYER}"""
     distinct = f"SELECT DISTINCT {PLAIN} FROM findings"
     kept_commits = " OR ".join(f"starts_with(commit, {lit(c)})" for c in _allowed_commits())
     hours = f"CAST(floor({STAMP} / 3600) * 3600 AS BIGINT)"
@@ -388,8 +396,22 @@ def twins() -> dict[str, str]:
         "scan_changed": on_findings(f"SELECT {PLAIN} FROM findings", changed),
         "scan_archives": f"""WITH {findings(layers, keep='image, layer')} SELECT {PLAIN.replace(
             'tags', "tags || ',docker-layer' AS tags")}, image, layer FROM findings""",
-        "archive_metrics": """SELECT 'image_' || CAST(doc_id // 20 AS VARCHAR) AS image,
-            count(DISTINCT doc_id // 10) AS layers_scanned, 0 AS errors FROM documents GROUP BY 1""",
+        "archive_metrics": f"""SELECT 'image_' || CAST(doc_id // 20 AS VARCHAR) AS image,
+            count(DISTINCT CASE WHEN {GOOD_IMAGE} THEN doc_id // 10 END) AS layers_scanned,
+            count(*) FILTER ({GOOD_IMAGE} AND NOT {BAD_LAYER}) AS files,
+            CASE WHEN doc_id // 20 % 11 = 4 THEN 1 WHEN doc_id // 20 % 11 = 6 THEN 0
+              ELSE count(DISTINCT CASE WHEN {BAD_LAYER} THEN doc_id // 10 END) + CAST(doc_id // 20 % 5 = 2 AS INTEGER) END AS errors
+            FROM documents GROUP BY doc_id // 20""",
+        "archive_errors": f"""SELECT 'image_' || CAST(doc_id // 20 AS VARCHAR) AS image, CASE WHEN {GOOD_IMAGE} THEN
+              CAST(doc_id // 10 AS VARCHAR) || '/layer.tar' END AS layer, 'unreadable' AS kind, 1 AS errors
+            FROM documents WHERE ({GOOD_IMAGE} AND {BAD_LAYER}) OR doc_id // 20 % 11 = 4 GROUP BY ALL
+            UNION ALL SELECT DISTINCT 'image_' || CAST(doc_id // 20 AS VARCHAR), 'large.tar', 'large', 1
+            FROM documents WHERE {GOOD_IMAGE} AND doc_id // 20 % 5 = 2""",
+        "skipped_files": f"""SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS length, CASE
+            WHEN octet_length(encode(content)) > 20000 THEN 'size' WHEN regexp_matches(path, '(^|/)\\.git/') THEN 'git folder'
+            WHEN NOT {file_gate(1 << 60)} THEN 'extension' WHEN {path_allowed('path')} THEN 'path allowlist'
+            WHEN has_nul OR control_heavy THEN 'binary' END AS reason FROM ({BINARY}) WHERE reason IS NOT NULL""",
+        "scan_tree": on_findings(distinct, TEXT_FILES),
         "scan_union_roots": on_findings(f"SELECT {PLAIN} FROM findings",
                                         f"SELECT path, content FROM ({DOCS}) UNION ALL {CHAT} UNION ALL {PAGES}"),
         "scan_custom_rule": on_findings(f"SELECT {PLAIN} FROM findings",
@@ -473,8 +495,8 @@ def twins() -> dict[str, str]:
         "baseline_existing": old_new(f"SELECT {base6} FROM new WHERE fingerprint IN (SELECT fingerprint FROM old)"),
         "baseline_resolved": old_new(f"SELECT {base6} FROM old WHERE fingerprint NOT IN (SELECT fingerprint FROM new)"),
         "baseline_compare": compared(f"SELECT {base6}, description, status FROM compared"),
-        "baseline_compare_stable": old_new(f""", o AS (SELECT DISTINCT file, rule_id, {stable('old')} AS key FROM old),
-            n AS (SELECT file, rule_id, {stable('new')} AS key FROM new)
+        "baseline_compare_stable": old_new(f""", o AS (SELECT DISTINCT file, rule_id, (rule_id, file, match) AS key FROM old),
+            n AS (SELECT file, rule_id, (rule_id, file, match) AS key FROM new)
             SELECT file, rule_id, CASE WHEN key IN (SELECT key FROM o) THEN 'existing' ELSE 'new' END AS status,
               count(*) AS findings FROM n GROUP BY ALL
             UNION ALL SELECT file, rule_id, 'resolved', count(*) FROM o

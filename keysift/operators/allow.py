@@ -68,7 +68,7 @@ def drop_allowed_commits(df: DataFrame, pack: RulePack, commit: str = "commit")
     for allowed in pack.allowed_commits:
         by_length.setdefault(len(allowed), []).append(allowed)
     checks = [F.left(F.col(commit), F.lit(n)).isin(hashes) for n, hashes in by_length.items()]
-    return df.filter(~_any(checks)) if checks else df
+    return df.filter(~F.coalesce(_any(checks), F.lit(False))) if checks else df
 
 
 __all__ = ["COMMENT_FORMS", "DEFAULT_MARKERS", "drop_allowed_commits", "has_inline_allow",

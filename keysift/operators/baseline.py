@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysift.functions.text import stable_fingerprint
+from keysift.sources.staging import materialized
 
-SALTS = 32
+SALTS = 16
 BASELINE_VERSION = "1.0"
 BASELINE_COLUMNS = ("rule_id", "fingerprint", "match", "file", "line", "severity")
 BASELINE_SCHEMA = ("version string, generated_at timestamp, findings array<struct<rule_id: string, "
@@ -40,9 +41,16 @@ def load_baseline_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
-    if key not in ("fingerprint", "stable_fingerprint"):
-        raise ValueError(f"key must be fingerprint or stable_fingerprint, not {key!r}")
-    return with_stable_fingerprint(df) if key not in df.columns else df
+    """With the comparison key: the fingerprint, or ``stable_key`` over rule, file and the whole match, which moved lines do not change.
+
+    The stable fingerprint reads only the first bytes of a match and would take a new secret for a known one.
+    """
+    if key not in ("fingerprint", "stable_key"):
+        raise ValueError(f"key must be fingerprint or stable_key, not {key!r}")
+    if key == "fingerprint":
+        return df
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("rule_id", "file", "match")]
+    return df.withColumn("stable_key", F.sha2(F.to_json(F.array(*parts)), 256))
 
 
 def _known(baseline: DataFrame, key: str) -> DataFrame:
@@ -61,37 +69,28 @@ def existing_findings(findings: DataFrame, baseline: DataFrame, key: str = "fing
 
 
 def resolved_findings(findings: DataFrame, baseline: DataFrame, key: str = "fingerprint") -> DataFrame:
-    """Baseline rows no longer found, once per key."""
-    return (_keyed(baseline, key).join(_known(findings, key), key, "left_anti")
-            .dropDuplicates([key]).select(*BASELINE_COLUMNS))
+    """Baseline rows no longer found, once per key: of several rows the first in order of line, severity and match."""
+    gone = _keyed(baseline, key).join(_known(findings, key), key, "left_anti")
+    first = F.min(F.struct("line", "severity", "match", "rule_id", "fingerprint", "file")).alias("_row")
+    return gone.groupBy(key).agg(first).select(*[F.col("_row")[c].alias(c) for c in BASELINE_COLUMNS])
 
 
 def compare_with_baseline(findings: DataFrame, baseline: DataFrame | None,
                           key: str = "fingerprint") -> DataFrame:
-    """The findings with ``status`` new or existing, and the baseline's vanished ones as resolved.
+    """The findings with ``status`` new or existing, and the baseline's vanished ones as resolved, once per key.
 
-    By fingerprint it is one full outer join over one row per baseline key; repeated current
-    findings all stay.  A stable fingerprint may stand for a large share of the findings (one
-    file full of ``password=``), and a full outer join cannot be split, so there the known keys
-    go out once per salt and the resolved rows come from distinct keys; this reads the findings
-    twice, so give it a written table.
+    Repeated current findings all stay.  One key may stand for a large share of them (one file of a base image in very many images),
+    so the known keys go out once per salt and findings are spread by all their columns; nothing is joined full outer, which could not be split.
+    The findings are read twice, so they are written to the shared folder first.
     """
     if baseline is None:
         return findings.withColumn("status", F.lit("new"))
-    known = _keyed(baseline, key).dropDuplicates([key]).select(
-        F.col(key), F.struct(*BASELINE_COLUMNS).alias("_known"))
-    current = _keyed(findings, key)
-    if key == "fingerprint":
-        joined = current.withColumn("_current", F.lit(True)).join(known, key, "full_outer")
-        columns = [F.coalesce(F.col(c), F.col("_known")[c]).alias(c) if c in BASELINE_COLUMNS else F.col(c)
-                   for c in findings.columns]
-        status = (F.when(F.col("_current").isNull(), "resolved")
-                  .when(F.col("_known").isNotNull(), "existing").otherwise("new"))
-        return joined.select(*columns, status.alias("status"))
-    salted = known.select(key, F.lit(True).alias("_seen"),
-                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    spread = F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)).cast("int")
-    found = (current.withColumn("_salt", spread).join(salted, [key, "_salt"], "left")
+    findings = materialized(findings)
+    salted = _known(baseline, key).select(key, F.lit(True).alias("_seen"),
+                                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    spread = F.pmod(F.xxhash64(*[c for c in findings.columns if not c.startswith("_")], F.monotonically_increasing_id()),
+                    F.lit(SALTS)).cast("int")
+    found = (_keyed(findings, key).withColumn("_salt", spread).join(salted, [key, "_salt"], "left")
              .select(*findings.columns, F.when(F.col("_seen"), "existing").otherwise("new").alias("status")))
     gone = resolved_findings(findings, baseline, key).withColumn("status", F.lit("resolved"))
     return found.unionByName(gone, allowMissingColumns=True)

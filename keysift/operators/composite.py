@@ -8,29 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from keysift.operators.detect import rule_matches
 from keysift.rules.pack import RulePack
-from keysift.sources.checkpoints import materialized
-
-
-def within_lines(matches: DataFrame, companions: DataFrame, lines: int, key: str = "path") -> DataFrame:
-    """Matches with a companion in the same text at most ``lines`` lines away.
-
-    Companions are reduced to the first and last line of each band of ``lines + 1`` lines and
-    sent to their own and the two neighbouring bands.  Every match then meets at most one row,
-    however many companions its text has.
-    """
-    width = lines + 1
-    bands = (companions.select(key, F.col("line"), F.floor(F.col("line") / width).alias("_band"))
-             .groupBy(key, "_band").agg(F.min("line").alias("_low"), F.max("line").alias("_high")))
-    sent = bands.select(key, F.col("_band").alias("_from"), "_low", "_high",
-                        F.explode(F.array(*[F.col("_band") + d for d in (-1, 0, 1)])).alias("_band"))
-    near = sent.groupBy(key, "_band").agg(
-        F.max(F.when(F.col("_from") < F.col("_band"), F.col("_high"))).alias("_before"),
-        F.max(F.when(F.col("_from") == F.col("_band"), F.lit(True))).alias("_inside"),
-        F.min(F.when(F.col("_from") > F.col("_band"), F.col("_low"))).alias("_after"))
-    banded = matches.withColumn("_band", F.floor(F.col("line") / width))
-    close = (F.col("_inside") | (F.col("line") - F.col("_before") <= lines)
-             | (F.col("_after") - F.col("line") <= lines))
-    return banded.join(near, [key, "_band"]).filter(close).select(*matches.columns)
 
 
 def with_companions(pack: RulePack) -> tuple[RulePack, dict[int, list[tuple[int, int]]]]:
@@ -52,21 +29,12 @@ def with_companions(pack: RulePack) -> tuple[RulePack, dict[int, list[tuple[int,
     return replace(pack, rules=tuple(rules)), needs
 
 
-def composite_matches(texts: DataFrame, pack: RulePack, text: str, key: str = "path", **detect) -> DataFrame:
-    """``rule_matches`` in which rules with companions count only near them.
+def composite_matches(texts: DataFrame, pack: RulePack, text: str, **detect) -> DataFrame:
+    """``rule_matches`` in which rules with companions count only near them, decided inside the row of each text.
 
-    Matches and companions come from one pass over the texts, written once and read per rule.
+    All matches of a text are in one array before they leave as rows, so texts never meet, whatever their paths, and nothing is
+    joined or written.
     """
     extended, needs = with_companions(pack)
-    matches = rule_matches(texts, extended, text, **detect)
-    if not needs:
-        return matches
-    matches = materialized(matches)
-    result = matches.filter(F.col("rule_idx").isin(
-        [i for i in range(len(pack.rules)) if i not in needs]))
-    for index, companions in needs.items():
-        kept = matches.filter(F.col("rule_idx") == index)
-        for companion, lines in companions:
-            kept = within_lines(kept, matches.filter(F.col("rule_idx") == companion), lines, key)
-        result = result.unionByName(kept)
-    return result
+    matches = rule_matches(texts, extended, text, near=needs, **detect)
+    return matches.filter(F.col("rule_idx") < len(pack.rules)) if needs else matches

@@ -202,10 +202,32 @@ def _locate(text: Column, hit: Column, patterns: Column, endings: Column, marker
         placed, lambda p: row(lines, allowed, p))))
 
 
+def _near(matches: Column, needs: dict[int, list[tuple[int, int]]]) -> Column:
+    """The matches of one text whose rule has each of its companions (rule, lines) that near."""
+    wanted = sorted({companion for pairs in needs.values() for companion, _ in pairs})
+
+    def lines_of(companion: int) -> Column:
+        return F.array_distinct(F.transform(F.filter(matches, lambda m: m["rule_idx"] == companion), lambda m: m["line"]))
+
+    return let(F.array(*[lines_of(c) for c in wanted]), lambda lines: F.filter(matches, lambda m: _fits(m, lines, wanted, needs)))
+
+
+def _fits(m: Column, lines: Column, wanted: list[int], needs: dict[int, list[tuple[int, int]]]) -> Column:
+    """Whether each companion of the match's rule has a line near enough."""
+    def close(companion: int, distance: int) -> Column:
+        return F.exists(lines[wanted.index(companion)], lambda line: F.abs(line - m["line"]) <= distance)
+
+    fits = F.lit(True)
+    for rule, pairs in needs.items():
+        near = reduce(lambda a, b: a & b, [close(companion, distance) for companion, distance in pairs])
+        fits = F.when(m["rule_idx"] == rule, near).otherwise(fits)
+    return fits
+
+
 def rule_matches(df: DataFrame, pack: RulePack, text: str, keyless: str = "never",
                  markers: tuple[str, ...] | None = DEFAULT_MARKERS,
-                 context: int | None = 2) -> DataFrame:
-    """Every non-overlapping match of every candidate rule.
+                 context: int | None = 2, near: dict[int, list[tuple[int, int]]] | None = None) -> DataFrame:
+    """Every non-overlapping match of every candidate rule; of rules in ``near`` only those close to their companions.
 
     Returns the input columns without the text, plus ``rule_idx``, ``match``, ``start`` and
     ``end`` (0-based, in characters), ``line`` and ``column`` (1-based), ``inline_allow`` (unless
@@ -226,4 +248,6 @@ def rule_matches(df: DataFrame, pack: RulePack, text: str, keyless: str = "never
     endings = F.expr("array(%s)" % ", ".join(sql_string(rule.ending) for rule in rules))
     hits = F.filter(found, lambda hit: F.size(hit["found"]) > 0)
     located = F.flatten(F.transform(hits, lambda hit: _locate(body, hit, patterns, endings, markers, context)))
+    if near:
+        located = let(located, lambda matches: _near(matches, near))
     return candidate_masks(df, text, rules).select(*kept, F.inline(located))

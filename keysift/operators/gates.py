@@ -68,21 +68,27 @@ def is_binary(content: Column) -> Column:
 def gate_files(files: DataFrame, path: str = "path", length: str = "length",
                max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Files worth opening; the size test reaches the file reader."""
-    name = F.col(path)
+    name = F.coalesce(F.col(path), F.lit(""))
     return files.filter((F.col(length) <= max_bytes) & ~is_inside_git(name) & is_scannable_path(name))
 
 
 def gate_paths(files: DataFrame, pack: RulePack, path: str = "path") -> DataFrame:
-    return files.filter(~is_allowed_path(F.col(path), pack))
+    """Files whose path no allowlist names; one without a path is kept."""
+    return files.filter(~F.coalesce(is_allowed_path(F.col(path), pack), F.lit(False)))
 
 
 def gate_image_files(files: DataFrame, path: str = "path", length: str = "length",
                      max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
-    return files.filter((F.col(length) <= max_bytes) & ~is_skipped_in_image(F.col(path)))
+    return files.filter((F.col(length) <= max_bytes) & ~F.coalesce(is_skipped_in_image(F.col(path)), F.lit(False)))
 
 
 def gate_changed_files(files: DataFrame, path: str = "path") -> DataFrame:
-    return files.filter(~is_skipped_in_commit(F.col(path)))
+    return files.filter(~F.coalesce(is_skipped_in_commit(F.col(path)), F.lit(False)))
+
+
+def slashes(path: Column) -> Column:
+    """A path with forward slashes only, as patterns and reports expect."""
+    return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
 def readable_text(content: Column) -> Column:

@@ -39,7 +39,8 @@ def scan_history(commit_files: DataFrame, pack: RulePack, digest: str | None = N
     identifies the content, such as a blob hash; the places are then found without reading it.
     """
     rules = pack.compiled(detect.get("keyless", "never"))
-    wanted = drop_allowed_commits(commit_files, pack).filter(~is_allowed_path(F.col("file"), pack))
+    named = commit_files.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("commit", "file")})
+    wanted = drop_allowed_commits(named, pack).filter(~is_allowed_path(F.col("file"), pack))
     identity = F.col(digest) if digest else F.sha2("content", 256)
     texts = wanted.select("content", F.col(digest).alias("digest")) if digest else wanted.select("content")
     candidates = candidate_masks(texts, "content", rules).select(

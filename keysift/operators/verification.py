@@ -115,15 +115,24 @@ def classify_response(rule_id: Column, secret: Column, http_status: Column, body
             .when(by == "openai", openai).otherwise(anthropic))
 
 
+def latest_response(responses: DataFrame) -> DataFrame:
+    """One answer per (rule_id, secret_sha256): the latest, with a fixed order among equals."""
+    answer = ("http_status", "body", "transport_error")
+    when = F.col("responded_at") if "responded_at" in responses.columns else F.lit(None).cast("timestamp")
+    order = F.struct(when.isNull().alias("undated"), (-F.unix_micros(when)).alias("age"), *answer)
+    best = responses.groupBy("rule_id", "secret_sha256").agg(F.min(order).alias("_best"))
+    return best.select("rule_id", "secret_sha256", *[F.col("_best")[c].alias(c) for c in answer])
+
+
 def verify_findings(findings: DataFrame, responses: DataFrame, status: str = "", salts: int = SALTS) -> DataFrame:
     """Findings with what recorded ``responses`` say about them, and ``verification_status``.
 
-    ``responses(rule_id, secret_sha256, http_status, body, transport_error)`` holds one row per
-    secret (repeats collapse).  One leaked secret may be behind a large share of the findings, so
+    ``responses(rule_id, secret_sha256, http_status, body, transport_error)`` holds the answers.  Of several for one secret the
+    latest by ``responded_at`` counts (if there is such a column), then the first in order of status, body and error.  One leaked secret may be behind a large share of the findings, so
     findings are salted and the answers go out once per salt.  ``status`` keeps, among the
     verifiable findings with an answer, those with that status.
     """
-    answers = (responses.dropDuplicates(["rule_id", "secret_sha256"])
+    answers = (latest_response(responses)
                .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     # What is not verifiable needs no answer; its null secret meets none, and a wide salt spreads it.
     spread = F.xxhash64("fingerprint", "file", "commit")

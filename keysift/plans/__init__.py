@@ -1,5 +1,5 @@
-from keysift.plans.scan import (after_scan, archive_errors, files_scanned, layers_scanned, scan_archives,
+from keysift.plans.scan import (after_scan, archive_errors, archive_metrics, files_scanned, scan_archives,
                                 scan_composite, scan_files, scan_image_files, scan_roots, scan_table)
 
-__all__ = ["after_scan", "archive_errors", "files_scanned", "layers_scanned", "scan_archives",
+__all__ = ["after_scan", "archive_errors", "archive_metrics", "files_scanned", "scan_archives",
            "scan_composite", "scan_files", "scan_image_files", "scan_roots", "scan_table"]

@@ -9,7 +9,7 @@ from keysift.operators.baseline import new_findings
 from keysift.operators.composite import composite_matches
 from keysift.operators.detect import rule_matches
 from keysift.operators.findings import as_findings, dedup, filter_severity, gate_matches
-from keysift.operators.gates import MAX_FILE_BYTES, gate_files, gate_image_files, gate_paths, readable_text
+from keysift.operators.gates import MAX_FILE_BYTES, MAX_IMAGE_BYTES, gate_files, gate_image_files, gate_paths, readable_text
 from keysift.operators.verification import verify_findings
 from keysift.rules.pack import RulePack, builtin_pack
 from keysift.sources.archives import expand_archives
@@ -35,8 +35,8 @@ def scan_table(df: DataFrame, pack: RulePack | None = None, path: str = "path",
 
 def scan_composite(df: DataFrame, pack: RulePack, path: str = "path", text: str = "content") -> DataFrame:
     """``scan_table`` in which the rules' required companions are honoured."""
-    texts = gate_paths(df.select(path, text), pack, path)
-    return as_findings(gate_matches(composite_matches(texts, pack, text, path), pack), path)
+    named = df.select(path, text).withColumn(path, F.coalesce(F.col(path), F.lit("")))
+    return as_findings(gate_matches(composite_matches(gate_paths(named, pack, path), pack, text), pack), path)
 
 
 def scan_files(files: DataFrame, pack: RulePack | None = None, max_bytes: int = MAX_FILE_BYTES,
@@ -59,21 +59,33 @@ def scan_image_files(files: DataFrame, pack: RulePack | None = None, **options)
     return scan_table(kept, pack, **options)
 
 
-def scan_archives(archives: DataFrame, pack: RulePack | None = None, spread: int | None = None,
+def scan_archives(archives: DataFrame, pack: RulePack | None = None, max_bytes: int = MAX_IMAGE_BYTES,
                   **options) -> DataFrame:
-    """Findings of image archives, with ``image`` and ``layer`` and the tag ``docker-layer``."""
-    files = expand_archives(archives, spread=spread).filter(F.col("path").isNotNull())
+    """Findings of image archives, with ``image`` and ``layer`` and the tag ``docker-layer``.
+
+    What could not be read is in ``archive_errors``.
+    """
+    files = expand_archives(archives, max_bytes).filter(F.col("path").isNotNull() & F.col("error").isNull())
     found = scan_image_files(files, pack, keep=("image", "layer"), **options)
     return found.withColumn("tags", F.array_append("tags", "docker-layer"))
 
 
-def layers_scanned(archives: DataFrame) -> DataFrame:
-    layers = expand_archives(archives).filter(F.col("error").isNull() & F.col("path").isNull())
-    return layers.groupBy("image").agg(F.countDistinct("layer").alias("layers_scanned"))
+def archive_metrics(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
+    """(image, layers_scanned, files, errors) for every image, also one without layers, in one pass without file contents.
+
+    A layer counts when it is opened, whether or not it can be read.
+    """
+    rows = expand_archives(archives, max_bytes, bodies=False)
+    good = F.col("error").isNull()
+    return rows.groupBy("image").agg(
+        F.count_if(good & F.col("layer").isNotNull() & F.col("path").isNull()).alias("layers_scanned"),
+        F.count_if(good & F.col("path").isNotNull()).alias("files"), F.count_if(~good).alias("errors"))
 
 
-def archive_errors(archives: DataFrame) -> DataFrame:
-    return expand_archives(archives).filter(F.col("error").isNotNull()).select("image", "layer", "error")
+def archive_errors(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
+    """(image, layer, path, error) of everything that could not be read."""
+    rows = expand_archives(archives, max_bytes, bodies=False)
+    return rows.filter(F.col("error").isNotNull()).select("image", "layer", "path", "error")
 
 
 def scan_roots(roots: list[DataFrame], pack: RulePack | None = None, **options) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keysift.functions.text import clip_match, fingerprint_short, truncate
 from keysift.operators.findings import REPORT_ORDER, redacted, report_summary
-from keysift.sources.checkpoints import materialized
+from keysift.sources.staging import materialized
 
 VERSION = "0.1.0"
 TOOL = "keysift"

@@ -1,6 +1,6 @@
-from keysift.sources.archives import expand_archives, expand_layers
-from keysift.sources.checkpoints import checkpoint_folder, materialized
-from keysift.sources.files import files_as_text, read_files, read_text_table
+from keysift.sources.archives import expand_archives
+from keysift.sources.files import files_as_text, read_files, read_text_table, skipped_files
+from keysift.sources.staging import Staging, materialized, shared_folder
 
-__all__ = ["checkpoint_folder", "expand_archives", "expand_layers", "files_as_text", "materialized",
-           "read_files", "read_text_table"]
+__all__ = ["expand_archives", "files_as_text", "materialized",
+           "read_files", "read_text_table", "shared_folder", "skipped_files", "Staging"]

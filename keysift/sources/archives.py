@@ -1,7 +1,10 @@
 """Container image archives as rows of files.
 
-Tar streams have no built-in reader, so two ``mapInPandas`` steps open them with the standard
-library: an archive becomes its layers, a layer its files.  Everything after is ordinary columns.
+Tar streams have no built-in reader, so one ``mapInPandas`` step opens them with the standard library.  Archive and layers are
+streamed one entry at a time; nothing is held but the file being read.  Everything after is ordinary columns.
+
+Nothing is lost silently: an archive gives one row of its own, a layer one row before it is opened, and whatever cannot be
+read (a broken or cut archive or layer, a bad compression header, a short or over-long file) one row with the error.
 """
 
 from __future__ import annotations
@@ -9,98 +12,137 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from keysift.operators.gates import MAX_IMAGE_BYTES
 
-LAYER_SCHEMA = "image string, layer string, content binary, error string"
 FILE_SCHEMA = "image string, layer string, path string, length bigint, content binary, error string"
+COLUMNS = ["image", "layer", "path", "length", "content", "error"]
 BATCH_BYTES = 16 * 1024 * 1024
+PIECE = 1 << 20
+BROKEN = (tarfile.TarError, OSError, EOFError, zlib.error, ValueError)
+
 
+class _Entry(tarfile.TarInfo):
+    """An entry that remembers on its archive how reading headers ended."""
 
-def _batches(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows in frames of limited size, so that one large layer does not fill the worker."""
+    @classmethod
+    def fromtarfile(cls, archive: tarfile.TarFile) -> tarfile.TarInfo:
+        try:
+            return super().fromtarfile(archive)
+        except tarfile.HeaderError as error:
+            archive.ended = error
+            raise
+
+
+def _entries(stream: BinaryIO) -> Iterator[tuple[tarfile.TarFile, tarfile.TarInfo]]:
+    """The entries of a tar stream; an end without the end mark raises."""
+    with tarfile.open(fileobj=stream, mode="r|", tarinfo=_Entry) as archive:
+        for entry in archive:
+            yield archive, entry
+        ended = getattr(archive, "ended", None)
+        if ended is not None and not isinstance(ended, tarfile.EOFHeaderError):
+            raise tarfile.ReadError(str(ended) or "ends without an end mark")
+
+
+def _read(stream: BinaryIO, size: int, keep: bool) -> tuple[int, bytes | None]:
+    """Bytes that are there, up to ``size``; the body itself where it is kept."""
+    if keep:
+        body = stream.read(size)
+        return len(body), body
+    there = 0
+    while there < size and (piece := stream.read(min(PIECE, size - there))):
+        there += len(piece)
+    return there, None
+
+
+def _files(image: str, layer: str, stream: BinaryIO, max_bytes: int, bodies: bool) -> Iterator[tuple]:
+    """The layer itself, then its regular files; every failure is a row."""
+    yield image, layer, None, None, None, None
+    name = None
+    try:
+        buffered = io.BufferedReader(stream) if not isinstance(stream, io.BufferedIOBase) else stream
+        opened = gzip.GzipFile(fileobj=buffered) if buffered.peek(2)[:2] == b"\x1f\x8b" else buffered
+        for archive, entry in _entries(opened):
+            name = entry.name
+            if entry.type not in (tarfile.REGTYPE, tarfile.AREGTYPE):
+                continue
+            if entry.size > max_bytes:
+                yield image, layer, name, entry.size, None, f"skipping large file: {name} ({entry.size} bytes)"
+                continue
+            there, body = _read(archive.extractfile(entry), entry.size, bodies)
+            if there < entry.size:
+                raise tarfile.ReadError(f"{name} has {there} of {entry.size} bytes")
+            yield image, layer, name, entry.size, body, None
+    except BROKEN as error:
+        yield image, layer, None, None, None, f"layer scan error: {error}"
+
+
+def _images(image: str, stream: BinaryIO, max_bytes: int, bodies: bool) -> Iterator[tuple]:
+    """The image itself, then its layers and their files."""
+    yield image, None, None, None, None, None
+    try:
+        head = stream.peek(1)
+        if not head:
+            return
+        for archive, entry in _entries(stream):
+            if entry.isdir():
+                continue
+            if entry.size > max_bytes:
+                yield image, entry.name, None, None, None, f"skipping large file: {entry.name} ({entry.size} bytes)"
+            elif entry.name.endswith(".tar") and entry.isreg():
+                yield from _files(image, entry.name, io.BufferedReader(archive.extractfile(entry), PIECE), max_bytes, bodies)
+    except BROKEN as error:
+        yield image, None, None, None, None, f"tar error: {error}"
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of limited size."""
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += sum(len(v) for v in row if isinstance(v, bytes))
+        size += len(row[4] or b"")
         if size >= BATCH_BYTES or len(held) >= 1000:
-            yield pd.DataFrame(held, columns=columns)
+            yield pd.DataFrame(held, columns=COLUMNS)
             held, size = [], 0
     if held:
-        yield pd.DataFrame(held, columns=columns)
+        yield pd.DataFrame(held, columns=COLUMNS)
 
 
-def _layers(image: str, content: bytes, max_bytes: int) -> Iterator[tuple]:
-    if not content:
-        return
-    try:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as archive:
-            for entry in archive:
-                if entry.isdir():
-                    continue
-                if entry.size > max_bytes:
-                    yield image, entry.name, None, f"skipping large file: {entry.name} ({entry.size} bytes)"
-                elif entry.name.endswith(".tar") and entry.isreg():
-                    yield image, entry.name, archive.extractfile(entry).read(), None
-    except (tarfile.TarError, OSError, EOFError) as error:
-        yield image, None, None, f"tar error: {error}"
+def _opened(path: str, content: bytes | None) -> BinaryIO:
+    if content is not None:
+        return io.BufferedReader(io.BytesIO(content))
+    from pyarrow import fs
+    store, place = fs.FileSystem.from_uri(path if ":" in path.split("/", 1)[0] else "file://" + path)
+    return io.BufferedReader(store.open_input_stream(place, compression=None), PIECE)
 
 
-def _files(image: str, layer: str, content: bytes, max_bytes: int) -> Iterator[tuple]:
-    """The regular files of a layer; what cannot be read is passed over."""
-    if content[:2] == b"\x1f\x8b" and len(content) > 2:
-        try:
-            opened = gzip.GzipFile(fileobj=io.BytesIO(content))
-            opened.peek(1)
-        except (OSError, EOFError) as error:
-            yield image, layer, None, None, None, f"layer scan error: {error}"
-            return
-    else:
-        opened = io.BytesIO(content)
-    yield image, layer, None, None, None, None  # the layer itself, for counting
-    try:
-        with tarfile.open(fileobj=opened, mode="r|") as archive:
-            for entry in archive:
-                if entry.type not in (tarfile.REGTYPE, tarfile.AREGTYPE) or entry.size > max_bytes:
-                    continue
-                body = archive.extractfile(entry).read()
-                if len(body) == entry.size:
-                    yield image, layer, entry.name, entry.size, body, None
-    except (tarfile.TarError, OSError, EOFError):
-        return
+def expand_archives(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES, bodies: bool = True) -> DataFrame:
+    """One row per file of every layer, one per image (no layer), one per layer (no path) and one per error.
 
+    ``archives`` has ``path`` and ``content``; without ``content`` each path (a URI of the shared store) is opened and streamed, so
+    an archive may be of any size.  ``bodies=False`` reads everything and returns no file contents.
+    """
+    held = "content" in archives.columns
+    kept = archives.select("path", "content") if held else archives.select("path", F.lit(None).cast("binary").alias("content"))
 
-def expand_layers(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
-    """(path, content) of image archives to one row per layer, or per error."""
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for image, content in zip(frame["path"], frame["content"]):
-                yield from _batches(_layers(image, content, max_bytes), ["image", "layer", "content", "error"])
-
-    return archives.select("path", "content").mapInPandas(split, LAYER_SCHEMA)
-
-
-def expand_archives(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES,
-                    spread: int | None = None) -> DataFrame:
-    """One row per file of every layer, one per layer (without a path) and one per error.
-
-    ``spread`` moves layers to that many partitions first, for few archives with many layers.
-    """
-    columns = ["image", "layer", "path", "length", "content", "error"]
+                if held and content is None:
+                    yield pd.DataFrame([(image, *[None] * 5), (image, *[None] * 4, "tar error: no content")], columns=COLUMNS)
+                    continue
+                try:
+                    stream = _opened(image, content)
+                except (OSError, ValueError) as error:
+                    yield pd.DataFrame([(image, *[None] * 5), (image, *[None] * 4, f"tar error: {error}")], columns=COLUMNS)
+                    continue
+                with stream:
+                    yield from _batches(_images(image, stream, max_bytes, bodies))
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for image, layer, content, error in frame[["image", "layer", "content", "error"]].itertuples(index=False):
-                if error is not None:
-                    yield pd.DataFrame([(image, layer, None, None, None, error)], columns=columns)
-                else:
-                    yield from _batches(_files(image, layer, content, max_bytes), columns)
-
-    layers = expand_layers(archives, max_bytes)
-    if spread:
-        layers = layers.repartition(spread, "image", "layer")
-    return layers.mapInPandas(split, FILE_SCHEMA)
+    return kept.mapInPandas(split, FILE_SCHEMA)

@@ -2,26 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from keysift.operators.gates import MAX_FILE_BYTES, gate_files, is_binary, readable_text
+from keysift.operators.gates import (MAX_FILE_BYTES, gate_files, gate_paths, is_binary, is_inside_git, is_scannable_path,
+                                     readable_text)
+from keysift.operators.allow import is_allowed_path
+from keysift.rules.pack import RulePack
 
 
-def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES,
+def list_files(spark: SparkSession, root: str, relative: bool = False) -> DataFrame:
+    """(path, length, uri) of every file under ``root``, without reading any; with ``relative`` paths start below ``root``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    return files.select(_plain(root, relative).alias("path"), "length", F.col("path").alias("uri"))
+
+
+def read_files(spark: SparkSession, root: str, pack: RulePack | None = None, max_bytes: int = MAX_FILE_BYTES,
                relative: bool = False) -> DataFrame:
-    """Every file under ``root`` as (path, length, content); unreadable ones are skipped.
+    """(path, length, content) of the files under ``root`` that pass the gates on size and path (and, with ``pack``, its path allowlist).
 
-    The size limit reaches the reader, so larger files are not opened.  With ``relative`` paths
-    start below ``root``.
+    The gates work on the listing; only files that pass are opened.  Those left out are in ``skipped_files``.  A file
+    that cannot be read is an error.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root)
-             .filter(F.col("length") <= max_bytes).select("path", "length", "content"))
+    wanted = gate_files(list_files(spark, root, relative), max_bytes=max_bytes)
+    if pack is not None:
+        wanted = gate_paths(wanted, pack)
+    return wanted.mapInArrow(_contents, "path string, length bigint, content binary")
+
+
+def _contents(batches):
+    """Opens the listed files one by one through Arrow's file systems."""
+    from urllib.parse import quote
+
+    import pyarrow as pa
+    from pyarrow import fs
+    for batch in batches:
+        for path, length, uri in zip(*[batch.column(c).to_pylist() for c in ("path", "length", "uri")]):
+            store, place = fs.FileSystem.from_uri(quote(uri, safe="/:"))
+            with store.open_input_file(place) as handle:
+                yield pa.RecordBatch.from_pydict({"path": [path], "length": [length], "content": pa.array([handle.read()], pa.binary())})
+
+
+def _plain(root: str, relative: bool) -> Column:
     plain = F.regexp_replace("path", "^file:(//)?", "")
     if relative:
-        plain = F.substring(plain, len(root.rstrip("/").removeprefix("file://").removeprefix("file:")) + 2,
-                            F.length(plain))
-    return files.withColumn("path", plain)
+        plain = F.substring(plain, len(root.rstrip("/").removeprefix("file://").removeprefix("file:")) + 2, F.length(plain))
+    return plain
+
+
+def skip_reason(max_bytes: int = MAX_FILE_BYTES, pack: RulePack | None = None) -> Column:
+    """Why the gates leave a file out; null for files that are scanned."""
+    name = F.col("path")
+    reason = (F.when(F.col("length") > max_bytes, "size").when(is_inside_git(name), "git folder")
+              .when(~is_scannable_path(name), "extension"))
+    if pack is not None:
+        reason = reason.when(is_allowed_path(name, pack), "path allowlist")
+    if_binary = F.when(is_binary(F.col("content")), "binary")
+    return F.coalesce(reason, if_binary)
+
+
+def skipped_files(files: DataFrame, pack: RulePack | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, length, reason) of every file that a scan leaves out; without ``content`` the test for binary files is left out too."""
+    seen = files if "content" in files.columns else files.withColumn("content", F.lit(None).cast("binary"))
+    return seen.select("path", "length", skip_reason(max_bytes, pack).alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def files_as_text(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -30,14 +72,6 @@ def files_as_text(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFram
     return kept.withColumn("content", readable_text(F.col("content")))
 
 
-def read_text_table(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """A Parquet table of texts, with enough partitions for work bound by the processor.
-
-    One row group is one task, however many cores wait.  A table with fewer splits than twice
-    the cores is small, and is spread by ``key``; a large one has its own splits and moves nothing.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= 2 * cores:
-        return table
-    return table.repartition(2 * cores, key)
+def read_text_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table of texts, with the splits that Spark gives it; nothing is moved."""
+    return spark.read.parquet(path)

@@ -48,3 +48,8 @@ class Staging:
         for name in names:
             target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back."""
+    return Staging(df.sparkSession, "stage").write(df, "rows")

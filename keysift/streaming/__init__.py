@@ -22,7 +22,12 @@ def suppress_known(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def window_counts(findings: DataFrame, ts: str = "ts", width: str = "1 hour", slide: str | None = None,
                   delay: str | None = None) -> DataFrame:
-    """Findings per severity and window; with ``delay`` late rows are dropped behind the watermark."""
+    """Findings per severity and window; with ``delay`` late rows are dropped behind the watermark.
+
+    A stream needs a delay, or its state would grow for ever.
+    """
+    if findings.isStreaming and not delay:
+        raise ValueError("window counts of a stream need a delay")
     timed = findings.withWatermark(ts, delay) if delay else findings
     window: Column = F.window(ts, width, slide) if slide else F.window(ts, width)
     return (timed.groupBy(window.alias("window"), "severity").agg(F.count("*").alias("findings"))

@@ -4,7 +4,6 @@ import time
 
 import pytest
 
-from keysift.operators.composite import within_lines
 from keysift.operators.detect import BLOCK, RULES_PER_MASK, candidate_rules, rule_matches
 from keysift.operators.findings import dedup
 from keysift.plans import scan_composite, scan_table
@@ -102,14 +101,20 @@ def test_odd_pattern_and_column_names(texts, spark):
 
 
 @pytest.mark.parametrize("lines", [0, 1, 4])
-def test_within_lines_equals_brute_force(spark, lines):
+def test_companions_equal_brute_force(spark, lines):
+    """Repeated paths too: texts with the same path never lend each other a companion."""
     random.seed(lines)
-    primary = [(random.choice("abc"), random.randrange(60), i) for i in range(80)]
-    companion = [(random.choice("abc"), random.randrange(60)) for _ in range(25)]
-    got = within_lines(spark.createDataFrame(primary, "path string, line int, n int"),
-                       spark.createDataFrame(companion, "path string, line int"), lines).collect()
-    want = [p for p in primary if any(c[0] == p[0] and abs(c[1] - p[1]) <= lines for c in companion)]
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    pack = pack_from_dict({"rules": [{"id": "g", "regex": "g[0-9]+", "keywords": ["g"], "entropy": -9.0, "required": [
+        {"id": "u", "regex": "u=[a-z]", "withinLines": lines}, {"id": "w", "regex": "w!", "withinLines": lines + 1}]}]})
+    rows = [(random.choice(["p", "q", None]), [random.choice(["g1", "u=x", "w!", "", "", "g2 u=y"]) for _ in range(30)]) for _ in range(40)]
+    frame = spark.createDataFrame([(p, "\n".join(t)) for p, t in rows], "path string, content string")
+    got = sorted((r.file, r.line, r.match) for r in scan_composite(frame, pack).collect())
+
+    def near(text, i, part, distance):
+        return any(part in text[j] for j in range(max(0, i - distance), min(len(text), i + distance + 1)))
+    want = [(p or "", i + 1, line[:2]) for p, t in rows for i, line in enumerate(t) if line.startswith("g")
+            and near(t, i, "u=", lines) and near(t, i, "w!", lines + 1)]
+    assert got == sorted(want) and want
 
 
 def test_composite_rule(texts):
