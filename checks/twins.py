@@ -409,7 +409,7 @@ def twins() -> dict[str, str]:
             FROM documents WHERE {GOOD_IMAGE} AND doc_id // 20 % 5 = 2""",
         "skipped_files": f"""SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS length, CASE
             WHEN octet_length(encode(content)) > 20000 THEN 'size' WHEN regexp_matches(path, '(^|/)\\.git/') THEN 'git folder'
-            WHEN NOT {file_gate(1 << 60)} THEN 'extension' WHEN {path_allowed('path')} THEN 'path allowlist'
+            WHEN NOT ({file_gate(1 << 60)}) THEN 'extension' WHEN {path_allowed('path')} THEN 'path allowlist'
             WHEN has_nul OR control_heavy THEN 'binary' END AS reason FROM ({BINARY}) WHERE reason IS NOT NULL""",
         "scan_tree": on_findings(distinct, TEXT_FILES),
         "scan_union_roots": on_findings(f"SELECT {PLAIN} FROM findings",

@@ -2,51 +2,108 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from keysift.operators.gates import (MAX_FILE_BYTES, gate_files, gate_paths, is_binary, is_inside_git, is_scannable_path,
+from keysift.operators.gates import (MAX_FILE_BYTES, MIB, gate_files, gate_paths, is_binary, is_inside_git, is_scannable_path,
                                      readable_text)
 from keysift.operators.allow import is_allowed_path
 from keysift.rules.pack import RulePack
+from keysift.sources.staging import materialized
+
+
+READ_TASK_BYTES = 256 * MIB
+MOST_READ_TASKS = 100_000
+LISTED_AT_ONCE = 10_000
+
+
+def _uri(root: str) -> str:
+    """``root`` as a URI that Arrow's file systems accept; a plain path is a local one."""
+    scheme, colon, rest = root.rstrip("/").partition(":")
+    local = not colon or "/" in scheme or scheme == "file"
+    if local:
+        plain = rest if scheme == "file" and colon else root.rstrip("/")
+        return "file://" + quote("/" + plain.lstrip("/"))
+    return f"{scheme}:{quote(rest, safe='/:@')}"
+
+
+def _entries(uri: str):
+    """Lists each folder of its input, not what lies below: (place under the root, length), the length null for a folder."""
+    def lists(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(uri)
+        local = isinstance(store, fs.LocalFileSystem)
+        for batch in batches:
+            for place in batch.column("place").to_pylist():
+                here = store.get_file_info(f"{base}/{place}" if place else base)
+                if here.type == fs.FileType.NotFound:
+                    raise FileNotFoundError(here.path)
+                found = store.get_file_info(fs.FileSelector(here.path)) if here.type == fs.FileType.Directory else [here]
+                rows = [(i.path[len(base) + 1:], i.size if i.type == fs.FileType.File else None) for i in found
+                        if i.type == fs.FileType.File
+                        or i.type == fs.FileType.Directory and not (local and os.path.islink(i.path))]
+                for start in range(0, len(rows), LISTED_AT_ONCE):
+                    part = rows[start:start + LISTED_AT_ONCE]
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()),
+                                                      pa.array([n for _, n in part], pa.int64())], ["place", "length"])
+    return lists
 
 
 def list_files(spark: SparkSession, root: str, relative: bool = False) -> DataFrame:
-    """(path, length, uri) of every file under ``root``, without reading any; with ``relative`` paths start below ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    return files.select(_plain(root, relative).alias("path"), "length", F.col("path").alias("uri"))
+    """(path, length, place) of every file under ``root``, without reading any; with ``relative`` paths start below ``root``.
+
+    The built-in reader passes over names that start with a dot or an underscore, and secrets often
+    lie in ``.env``; so folders are listed here, level by level: one Spark job for all folders of a depth.
+    Links to local folders are not followed.
+    """
+    uri = _uri(root)
+    level = spark.createDataFrame([("",)], "place string")
+    files = None
+    while True:
+        entries = materialized(level.mapInArrow(_entries(uri), "place string, length bigint"))
+        found = entries.filter(F.col("length").isNotNull())
+        files = found if files is None else files.unionByName(found)
+        level = entries.filter(F.col("length").isNull()).select("place")
+        if level.isEmpty():
+            break
+        level = level.repartition(spark.sparkContext.defaultParallelism, "place")
+    shown = root.rstrip("/").removeprefix("file://").removeprefix("file:")
+    path = F.col("place") if relative else F.when(F.col("place") == "", shown).otherwise(F.concat(F.lit(shown + "/"), "place"))
+    return files.select(path.alias("path"), "length", "place")
 
 
 def read_files(spark: SparkSession, root: str, pack: RulePack | None = None, max_bytes: int = MAX_FILE_BYTES,
                relative: bool = False) -> DataFrame:
     """(path, length, content) of the files under ``root`` that pass the gates on size and path (and, with ``pack``, its path allowlist).
 
-    The gates work on the listing; only files that pass are opened.  Those left out are in ``skipped_files``.  A file
-    that cannot be read is an error.
+    The gates work on the listing; only files that pass are opened, in tasks of about
+    ``READ_TASK_BYTES`` each whatever folder they lie in.  Those left out are in ``skipped_files``.  A
+    file that cannot be read is an error.
     """
     wanted = gate_files(list_files(spark, root, relative), max_bytes=max_bytes)
     if pack is not None:
         wanted = gate_paths(wanted, pack)
-    return wanted.mapInArrow(_contents, "path string, length bigint, content binary")
+    volume = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = min(max(spark.sparkContext.defaultParallelism, volume // READ_TASK_BYTES), MOST_READ_TASKS)
+    return wanted.repartition(tasks, "place").mapInArrow(_contents(_uri(root)), "path string, length bigint, content binary")
 
 
-def _contents(batches):
+def _contents(uri: str):
     """Opens the listed files one by one through Arrow's file systems."""
-    from urllib.parse import quote
-
-    import pyarrow as pa
-    from pyarrow import fs
-    for batch in batches:
-        for path, length, uri in zip(*[batch.column(c).to_pylist() for c in ("path", "length", "uri")]):
-            store, place = fs.FileSystem.from_uri(quote(uri, safe="/:"))
-            with store.open_input_file(place) as handle:
-                yield pa.RecordBatch.from_pydict({"path": [path], "length": [length], "content": pa.array([handle.read()], pa.binary())})
-
-
-def _plain(root: str, relative: bool) -> Column:
-    plain = F.regexp_replace("path", "^file:(//)?", "")
-    if relative:
-        plain = F.substring(plain, len(root.rstrip("/").removeprefix("file://").removeprefix("file:")) + 2, F.length(plain))
-    return plain
+    def reads(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path, length, place in zip(*[batch.column(c).to_pylist() for c in ("path", "length", "place")]):
+                with store.open_input_file(f"{base}/{place}" if place else base) as handle:
+                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([length], pa.int64()),
+                                                      pa.array([handle.read()], pa.binary())], ["path", "length", "content"])
+    return reads
 
 
 def skip_reason(max_bytes: int = MAX_FILE_BYTES, pack: RulePack | None = None) -> Column:

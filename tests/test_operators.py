@@ -143,19 +143,22 @@ def test_changed_and_roots(texts):
 def test_files_on_disk(spark, tmp_path):
     for name, body in {"a.txt": GHP.encode(), "b.jpg": GHP.encode(), "c.bin2": b"\0" + GHP.encode(),
                        "sub dir/d é.env": b"\xff\xfe bad \x80\n" + GHP.encode(), ".git/config": GHP.encode(),
-                       "vendor/v.go": GHP.encode(), "big.txt": b"x" * 5000 + GHP.encode()}.items():
+                       "vendor/v.go": GHP.encode(), ".env": GHP.encode(), "_x/_y": GHP.encode(), "big.txt": b"x" * 5000 + GHP.encode()}.items():
         target = tmp_path / "root" / name
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(body)
     files = read_files(spark, str(tmp_path / "root"), max_bytes=4000, relative=True)
-    assert {r.path for r in files.select("path").collect()} == {"a.txt", "c.bin2", "sub dir/d é.env", "vendor/v.go"}
+    assert {r.path for r in files.select("path").collect()} == {"a.txt", "c.bin2", "sub dir/d é.env", "vendor/v.go", ".env", "_x/_y"}
     listed = list_files(spark, str(tmp_path / "root"), relative=True)
     assert {(r.path, r.reason) for r in skipped_files(listed, builtin_pack(), 4000).collect()} == {
         ("b.jpg", "extension"), (".git/config", "git folder"), ("big.txt", "size"), ("vendor/v.go", "path allowlist")}
     assert {(r.path, r.reason) for r in skipped_files(files).collect()} == {("c.bin2", "binary")}
     found = scan_files(files, max_bytes=4000).collect()
-    assert {(r.file, r.line, r.column) for r in found} == {("a.txt", 1, 1), ("sub dir/d é.env", 2, 1)}
-    assert files_scanned(files).first()[0] == 3
+    assert {(r.file, r.line, r.column) for r in found} == {("a.txt", 1, 1), ("sub dir/d é.env", 2, 1), (".env", 1, 1), ("_x/_y", 1, 1)}
+    assert files_scanned(files).first()[0] == 5
+    assert read_files(spark, f"file://{tmp_path}/root/.env").first().path == f"{tmp_path}/root/.env"
+    with pytest.raises(Exception, match="FileNotFound"):
+        list_files(spark, str(tmp_path / "nothing"))
 
 
 def test_provider(spark):
