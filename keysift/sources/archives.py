@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from keysift.operators.gates import MAX_IMAGE_BYTES
+from keysift.sources.files import arrow_uri
 
 FILE_SCHEMA = "image string, layer string, path string, length bigint, content binary, error string"
 COLUMNS = ["image", "layer", "path", "length", "content", "error"]
@@ -118,7 +119,7 @@ def _opened(path: str, content: bytes | None) -> BinaryIO:
     if content is not None:
         return io.BufferedReader(io.BytesIO(content))
     from pyarrow import fs
-    store, place = fs.FileSystem.from_uri(path if ":" in path.split("/", 1)[0] else "file://" + path)
+    store, place = fs.FileSystem.from_uri(arrow_uri(path))
     return io.BufferedReader(store.open_input_stream(place, compression=None), PIECE)
 
 

@@ -18,7 +18,7 @@ MOST_READ_TASKS = 100_000
 LISTED_AT_ONCE = 10_000
 
 
-def _uri(root: str) -> str:
+def arrow_uri(root: str) -> str:
     """``root`` as a URI that Arrow's file systems accept; a plain path is a local one."""
     scheme, colon, rest = root.rstrip("/").partition(":")
     local = not colon or "/" in scheme or scheme == "file"
@@ -60,7 +60,7 @@ def list_files(spark: SparkSession, root: str, relative: bool = False) -> DataFr
     lie in ``.env``; so folders are listed here, level by level: one Spark job for all folders of a depth.
     Links to local folders are not followed.
     """
-    uri = _uri(root)
+    uri = arrow_uri(root)
     level = spark.createDataFrame([("",)], "place string")
     files = None
     while True:
@@ -89,7 +89,7 @@ def read_files(spark: SparkSession, root: str, pack: RulePack | None = None, max
         wanted = gate_paths(wanted, pack)
     volume = wanted.agg(F.sum("length")).first()[0] or 0
     tasks = min(max(spark.sparkContext.defaultParallelism, volume // READ_TASK_BYTES), MOST_READ_TASKS)
-    return wanted.repartition(tasks, "place").mapInArrow(_contents(_uri(root)), "path string, length bigint, content binary")
+    return wanted.repartition(tasks, "place").mapInArrow(_contents(arrow_uri(root)), "path string, length bigint, content binary")
 
 
 def _contents(uri: str):
