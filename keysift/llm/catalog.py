@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysift.llm import bpe, decontaminate, exact_dedup, langid, quality, secret_index, simhash, token_files, url_rules, warc
+from keysift.llm import bpe, decontaminate, exact_dedup, langid, quality, secret_index, simhash, token_files, url_rules, variants, warc
 from keysift.sources.staging import Staging
 
 
@@ -95,6 +95,10 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -106,6 +110,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -120,4 +125,27 @@ ORACLE_SQL = {
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_spelling_variants": """
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS step),
+             found AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+             runs AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY ALL),
+             coded AS (SELECT *, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: ord(x)) AS points FROM runs),
+             hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(points,
+                lambda p: CASE WHEN p < 128 THEN [CAST(p AS BIGINT)] ELSE [192 + p // 64, 128 + p % 64] END))),
+                lambda c, b: xor(step[xor(c, b) % 256 + 1], c // 256))) AS h FROM coded, crc),
+             spelt AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+             w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+             d AS (SELECT word, left(word, i) || '*' || substr(word, i + 2) AS skip, left(word, i) || substr(word, i + 2) AS rest
+                   FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+             near AS (SELECT a.word, b.word AS other FROM d a JOIN d b USING (skip) WHERE a.word <> b.word
+                      UNION SELECT d.word, w.word FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.rest = w.word),
+             best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY o.n DESC, encode(other)) AS form, max(o.n) AS form_n
+                      FROM near JOIN w o ON o.word = other GROUP BY near.word),
+             forms AS (SELECT w.word, form, form_n FROM w JOIN best USING (word) WHERE form_n >= 10 * n),
+             chain AS (SELECT word, word AS here, 0 AS step FROM w UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = chain.here)
+        SELECT w.word, forms.form, (SELECT max_by(here, step) FROM chain WHERE chain.word = w.word) AS root, w.n,
+               coalesce(n_near, 0) AS n_near, forms.form_n
+        FROM w LEFT JOIN best USING (word) LEFT JOIN forms ON forms.word = w.word""",
 }

@@ -131,6 +131,21 @@ def find_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD_BY
     return Words(start, end, hashes, np.searchsorted(start, offsets))
 
 
+def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The maximal runs of bytes that are ``inside``, each within one text, as strings, and where each text's runs begin."""
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]
+    begins[edges] = inside[edges]
+    start = np.flatnonzero(begins)
+    before = np.cumsum(inside, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
+    places = np.append(before[start] - 1, before[-1]) if len(start) else np.zeros(1, np.int64)
+    flat = pa.py_buffer(np.ascontiguousarray(data[inside]))
+    found = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(places), flat)
+    return found, np.searchsorted(start, offsets)
+
+
 def word_hash(word: bytes) -> int:
     """The hash that ``find_words`` gives ``word``."""
     data = np.frombuffer(word, np.uint8)
