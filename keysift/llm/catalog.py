@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysift.llm import bpe, decontaminate, exact_dedup, langid, quality, secret_index, simhash, token_files, url_rules, variants, warc
+from keysift.llm import (bpe, decontaminate, divergence, exact_dedup, langid, quality, secret_index, simhash, token_files, url_rules,
+                         variants, warc)
 from keysift.sources.staging import Staging
 
 
@@ -99,6 +100,10 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(_table(spark, folder, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -111,6 +116,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_language": op10_language,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -148,4 +154,29 @@ ORACLE_SQL = {
         SELECT w.word, forms.form, (SELECT max_by(here, step) FROM chain WHERE chain.word = w.word) AS root, w.n,
                coalesce(n_near, 0) AS n_near, forms.form_n
         FROM w LEFT JOIN best USING (word) LEFT JOIN forms ON forms.word = w.word""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+             found AS (SELECT doc, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+             c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs FROM found GROUP BY ALL),
+             kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+             l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             gn AS (SELECT g.lang, g.source, coalesce(any_value(l.v), 0) AS v, coalesce(sum(c.n) FILTER (WHERE kept.term IS NOT NULL), 0) AS n
+                    FROM g LEFT JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source
+                    LEFT JOIN kept ON kept.lang = c.lang AND kept.term = c.term GROUP BY g.lang, g.source),
+             p AS (SELECT gn.lang, gn.source, kept.term, coalesce(c.n, 0) AS c,
+                          1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (gn.n + gn.v) AS p,
+                          1 + (CAST(1000000000 AS HUGEINT) * (kept.n + 1)) // (l.n + l.v) AS q
+                   FROM gn JOIN kept ON kept.lang = gn.lang JOIN l ON l.lang = gn.lang
+                   LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term),
+             pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+                       FROM gn a JOIN gn b ON b.lang = a.lang AND b.source <> a.source
+                       LEFT JOIN (SELECT s.lang, s.source, o.source AS item, sum(((s.p - o.p) * (s.p - o.p)) // o.p) AS value
+                                  FROM p s JOIN p o ON o.lang = s.lang AND o.term = s.term AND o.source <> s.source GROUP BY ALL) x
+                       ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+             rows AS (SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+                      UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE c > 0 AND p > q),
+             ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM rows)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }
