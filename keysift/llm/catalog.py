@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysift.llm import (bpe, decontaminate, divergence, exact_dedup, langid, quality, secret_index, simhash, token_files, url_rules,
-                         variants, warc)
+from keysift.llm import (bpe, decontaminate, divergence, exact_dedup, langid, lm_score, quality, secret_index, simhash, token_files,
+                         url_rules, variants, warc)
 from keysift.sources.staging import Staging
 
 
@@ -96,6 +96,11 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return lm_score.score_documents(docs, langid.held_out(docs["doc_id"], 7, 2)).withColumnRenamed("id", "doc_id")
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(_table(spark, folder, "documents"))
 
@@ -115,6 +120,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op11_lm_scores": op11_lm_scores,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_source_divergence": op13_source_divergence,
 }
