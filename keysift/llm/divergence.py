@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from keysift.llm.words import LOWER, byte_class, column_bytes, runs, slices, text_column
 from keysift.sources.staging import Staging
 
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP = 200
@@ -99,11 +99,12 @@ class Block:
         raw = pa.py_buffer(postings)
         for a in range(0, len(word), 50_000):
             b = min(a + 50_000, len(word))
-            places = pa.py_buffer((ends[a:b + 1] * POSTING.itemsize).astype(np.int64))
+            places = pa.py_buffer(((ends[a:b + 1] - ends[a]) * POSTING.itemsize).astype(np.int64))
+            own = raw.slice(int(ends[a]) * POSTING.itemsize, int(ends[b] - ends[a]) * POSTING.itemsize)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(langs, object)[word[a:b] // len(names)], pa.string()),
                  names.take(pa.array(ranked[word[a:b] % len(names)])).cast(pa.string()), pa.array(docs[a:b]),
-                 pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, places, raw]).cast(pa.binary())],
+                 pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, places, own]).cast(pa.binary())],
                 ["lang", "term", "docs", "postings"])
 
 
@@ -111,11 +112,12 @@ def index_runs(docs: DataFrame) -> DataFrame:
     """Of (lang, sid, text): the spilled runs, one row for each block, language and term."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
-        for batch in slices(batches, text_column, 4 << 20):
+        for batch in slices(batches, text_column):
             block.add(batch.column("text"), batch.column("lang").to_pylist(), batch.column("sid").to_numpy())
             if block.size >= BLOCK:
                 yield from block.run()
                 block = Block()
+                pa.default_memory_pool().release_unused()
         yield from block.run()
 
     return docs.select("lang", "sid", "text").mapInArrow(build, RUN)
