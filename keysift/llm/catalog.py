@@ -60,6 +60,16 @@ def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "mined")
 
 
+def url_rules_learnt(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages judged by rules mined from labels that follow their URLs' tokens (the given labels do not): bad are Spanish pages with a query, and
+    mobile ones that end in .html."""
+    pages, url = _table(spark, folder, "pages"), F.coalesce(F.col("url"), F.lit(""))
+    bad = (url.contains("/es/") & url.contains("?")) | (url.contains("://m.") & url.endswith(".html"))
+    labels = pages.select(F.col("page_id").alias("doc_id"), F.when(bad, 0).otherwise(1).alias("quality"))
+    found = url_rules.judge(pages, labels, rules=())
+    return found.select(F.col("id").alias("page_id"), "host", "path", "verdict", "mined", F.round("confidence", 6).alias("confidence"))
+
+
 def op6_secret_index(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_index.scan(_table(spark, folder, "documents"), keep=["doc_id"])
     base = F.filter("secrets", lambda x: x["kind"].isin([r.kind for r in secret_index.BASE]))
@@ -115,6 +125,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_url_rules": op5_url_rules,
+    "url_rules_learnt": url_rules_learnt,
     "op6_secret_index": op6_secret_index,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,

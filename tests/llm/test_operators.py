@@ -258,33 +258,6 @@ def test_hosts_paths_and_listed_rules(spark):
     assert url_rules.judge(pages.limit(0), none).count() == 0
 
 
-def test_mined_rules_equal_brute_force(spark):
-    rng = random.Random(2)
-    hosts = ["win-big.net", "news.paper.net", "shop.win.net", "blog.calm.net"]
-    rows = []
-    for i in range(400):
-        host, part = rng.choice(hosts), rng.choice(["go", "art", "x"])
-        bad = rng.random() < (0.95 if host == "win-big.net" and part == "go" else 0.9 if "shop" in host else 0.05)
-        rows.append((i, f"http://{host}/{part}/{i}", 0 if bad else 1))
-    pages = spark.createDataFrame([r[:2] for r in rows] + [(1000, None), (1001, rows[0][1])], "page_id long, url string")
-    labels = spark.createDataFrame([(i, q) for i, _, q in rows[:300]] + [(5000, 0), (0, None)], "doc_id long, quality int")
-    got = url_rules.judge(pages, labels, rules=()).collect()
-    tokens = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", url_rules.tokens_of(F.col("url")).alias("t")).collect()}
-    train = [(tokens[i], q == 0) for i, _, q in rows[:300]]
-    import itertools
-    blocked = set()
-    least = max(url_rules.SUPPORT * len(train), url_rules.LEAST)
-    for n in range(1, url_rules.LONGEST + 1):
-        for combo in itertools.combinations(sorted({t for x, _ in train for t in x}), n):
-            has = [bad for x, bad in train if set(combo) <= x]
-            if has and sum(has) >= least and sum(has) / len(has) >= url_rules.CONFIDENCE:
-                blocked.add(combo)
-    assert blocked
-    for r in got:
-        hit = any(set(c) <= tokens[r["id"]] for c in blocked)
-        assert r["verdict"] == ("block" if hit else "allow"), r
-
-
 # --- 6 secrets
 
 BASE = {"assign": (re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6),
