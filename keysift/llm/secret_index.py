@@ -1,13 +1,14 @@
 """Secret scans through a trigram index.
 
 From each rule's regular expression a Boolean query over three-byte strings is derived that every match must
-satisfy (case is folded for ASCII).  A slice of texts is indexed once: for each trigram of the queries, the postings are the
+satisfy (case is folded for ASCII; where a rule ignores case beyond ASCII, letters with such a variant ask for no trigram).  A slice of texts is indexed once: for each trigram of the queries, the postings are the
 texts that contain it.  Queries intersect and unite postings; only the candidates are searched by the expression.  A rule without
 mandatory trigrams scans every text.
 
 Whole texts are searched; nothing is shuffled.  Spans count code points, ends exclusive.
 
-*Defined results.*  A null text counts as empty and has no spans.  Rows that repeat have equal spans.
+*Defined results.*  A null text counts as empty and has no spans.  Rows that repeat have equal spans.  Long texts are searched as a whole; an empty table gives none.
+Columns of any name are carried inside ``row``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from keysift.llm.words import LOWER, carried, column_bytes, slices
 ALL = None
 MOST_STRINGS = 64
 FEW = 8
+TYPES = re.ASCII | re.LOCALE | re.UNICODE
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -75,7 +77,19 @@ def _needs(strings: set[str]) -> object:
     return _any_of([_all_of([s[i:i + 3] for i in range(len(s) - 2)]) for s in coded])
 
 
-def _walk(tree) -> tuple[set[str] | None, object]:
+def _scoped(flags: int, add: int, gone: int) -> int:
+    """The flags inside a group that changes them."""
+    return ((flags & ~TYPES if add & TYPES else flags) | add) & ~gone
+
+
+def _plain(value: int, flags: int) -> bool:
+    """Whether the character matches only itself, or in ASCII its other case.  Ignoring case beyond ASCII, the dotless and dotted i, the long s and
+    the Kelvin sign match i, s and k."""
+    beyond = flags & re.IGNORECASE and not flags & re.ASCII
+    return not beyond or value < 128 and chr(value) not in "iIsSkK"
+
+
+def _walk(tree, flags: int = re.ASCII) -> tuple[set[str] | None, object]:
     """(all strings that match, if few; the query that holds beside them)."""
     run, asked = {""}, []
 
@@ -85,23 +99,25 @@ def _walk(tree) -> tuple[set[str] | None, object]:
 
     for kind, value in tree:
         strings, query = None, ALL
-        if kind is op.LITERAL:
+        if kind is op.LITERAL and not _plain(value, flags) or kind is op.IN and any(k is op.LITERAL and not _plain(v, flags) for k, v in value):
+            pass
+        elif kind is op.LITERAL:
             strings = {chr(value).lower() if value < 128 else chr(value)}
         elif kind is op.IN and value[0][0] is not op.NEGATE and all(k is op.LITERAL for k, _ in value) and len(value) <= FEW:
             strings = {chr(v).lower() if v < 128 else chr(v) for _, v in value}
         elif kind is op.AT:
             strings = {""}
         elif kind is op.SUBPATTERN:
-            strings, query = _walk(value[-1])
+            strings, query = _walk(value[-1], _scoped(flags, *value[1:3]))
         elif kind is op.BRANCH:
-            found = [_walk(x) for x in value[1]]
+            found = [_walk(x, flags) for x in value[1]]
             if all(s is not None for s, _ in found):
                 strings = set().union(*(s for s, _ in found))
             else:
                 query = _any_of([_all_of([q, *([_needs(s)] if s is not None else [])]) for s, q in found])
         elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
             low, high, inner = value
-            part, beside = _walk(inner)
+            part, beside = _walk(inner, flags)
             if (low, high) == (0, 1) and part is not None:
                 strings = part | {""}
             elif low:
@@ -115,20 +131,22 @@ def _walk(tree) -> tuple[set[str] | None, object]:
         asked.append(query)
     asked = [q for q in asked if q is not ALL]
     if not asked and tree and all(k in (op.LITERAL, op.IN, op.AT, op.SUBPATTERN, op.BRANCH, op.MAX_REPEAT) for k, _ in tree) and run != {""}:
-        return (run, ALL) if _exact(tree) else (None, _needs(run))
+        return (run, ALL) if _exact(tree, flags) else (None, _needs(run))
     return None, _all_of([*asked, _needs(run)])
 
 
-def _exact(tree) -> bool:
+def _exact(tree, flags: int) -> bool:
     """Whether ``_walk`` lists every string that ``tree`` matches."""
     for kind, value in tree:
-        if kind is op.SUBPATTERN and not _exact(value[-1]):
+        if kind is op.LITERAL and not _plain(value, flags):
+            return False
+        if kind is op.SUBPATTERN and not _exact(value[-1], _scoped(flags, *value[1:3])):
             return False
-        if kind is op.BRANCH and not all(_exact(x) for x in value[1]):
+        if kind is op.BRANCH and not all(_exact(x, flags) for x in value[1]):
             return False
-        if kind is op.IN and (value[0][0] is op.NEGATE or len(value) > FEW or any(k is not op.LITERAL for k, _ in value)):
+        if kind is op.IN and (value[0][0] is op.NEGATE or len(value) > FEW or any(k is not op.LITERAL or not _plain(v, flags) for k, v in value)):
             return False
-        if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and (value[:2] != (0, 1) or not _exact(value[2])):
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and (value[:2] != (0, 1) or not _exact(value[2], flags)):
             return False
         if kind not in (op.LITERAL, op.IN, op.AT, op.SUBPATTERN, op.BRANCH, op.MAX_REPEAT, op.MIN_REPEAT):
             return False
@@ -137,7 +155,8 @@ def _exact(tree) -> bool:
 
 def trigram_query(rule: Rule) -> object:
     """The Boolean query that every text with a match of ``rule`` satisfies."""
-    strings, query = _walk(list(parser.parse(rule.pattern, rule.flags)))
+    tree = parser.parse(rule.pattern, rule.flags)
+    strings, query = _walk(list(tree), tree.state.flags)
     return _all_of([query, *([_needs(strings)] if strings is not None else [])])
 
 
