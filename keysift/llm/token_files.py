@@ -2,12 +2,13 @@
 
 A token file is a plain sequence of little-endian identifiers of one width; a separator ends each document.  Files are cut into blocks of
 ``BLOCK`` bytes, whichever file they belong to; each block is searched for separators in one vectorised pass and yields the lengths of
-the pieces between them.  The number of separators before each block, a prefix sum over narrow rows of one per block, gives
+the pieces between them, at most ``PIECES`` in a row.  The number of separators before each block, a prefix sum over narrow rows of one per block, gives
 every piece its document's number in the file.  Pieces with a separator on both sides are documents; pieces at the
 edges of blocks are added up by document, so a document may lie across any number of blocks.
 
 *Defined results.*  Adjacent separators are an empty document.  Identifiers after the last separator are a document marked as
-not closed; nothing after it is no document.  An empty file has no documents.  A file that is no whole number of identifiers is an error.
+not closed; nothing after it is no document.  An empty file has no documents.  A file that is no whole number of identifiers is an error.  A folder that is not there has no files.
+In ``write_tokens`` a null text reads as empty, rows with equal ids or texts are documents of their own, and no columns but the two named are read; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from keysift.sources.staging import Staging
 
 BLOCK = 32 << 20
 SEPARATOR = 50256
+PIECES = 1 << 16
 FOUND = T.StructType([T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("separators", T.LongType()),
+                      T.StructField("first", T.LongType()),
                       T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType()))])
 
 
@@ -37,6 +40,9 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file, bytes) of the token files in a folder; contents are not read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "file string, bytes bigint")
     return spark.read.format("binaryFile").load(folder).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
 
@@ -58,15 +64,16 @@ def count_tokens(files: DataFrame, staging: Staging, separator: int = SEPARATOR,
                 at = np.flatnonzero(data == separator)
                 starts = np.concatenate([[0], at + 1])
                 sizes = np.concatenate([at, [len(data)]]) - starts
-                one = [[x["file"]], [x["block"]], [len(at)], [starts + first // width], [sizes]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(one, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
-                                                                                       pa.list_(pa.int64())))], FOUND.names)
+                for k in range(0, len(starts), PIECES):
+                    one = [[x["file"]], [x["block"]], [len(at)], [k], [starts[k:k + PIECES] + first // width], [sizes[k:k + PIECES]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(one, (pa.string(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2))], FOUND.names)
 
     found = staging.write(spans.repartition("file", "block").mapInArrow(scan, FOUND), "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = found.select("file", "block", F.coalesce(F.sum("separators").over(before), F.lit(0)).alias("base"))
+    base = found.filter("first = 0").select("file", "block", F.coalesce(F.sum("separators").over(before), F.lit(0)).alias("base"))
     pieces = (found.join(base, ["file", "block"])
-              .select("file", "base", "separators", F.posexplode(F.arrays_zip("starts", "sizes")).alias("k", "x"))
+              .select("file", "base", "separators", "first", F.posexplode(F.arrays_zip("starts", "sizes")).alias("k", "x"))
+              .withColumn("k", F.col("k") + F.col("first"))
               .select("file", (F.col("base") + F.col("k")).alias("number"), F.col("x.starts").alias("start"),
                       F.col("x.sizes").alias("n_tokens"), (F.col("k") < F.col("separators")).alias("closed"),
                       ((F.col("k") > 0) & (F.col("k") < F.col("separators"))).alias("whole")))
