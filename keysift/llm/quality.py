@@ -5,11 +5,15 @@ letters and digits, lower-cased, and runs of other visible characters; pairs and
 
 *Learning.*  Over all labelled training texts the texts of each class that have a feature are counted (summed in the tasks, then
 merged); the log-count ratio of the classes scales each indicator, and rows are brought to length one.  A hinge-loss linear model is
-fitted to at most ``SAMPLE`` labelled texts, those with the smallest hash, by dual coordinate descent in one task;
-a fifth of them is kept back to fit the logistic curve that turns margins into scores.  The weights are ``BUCKETS`` numbers, whatever the input's size.
+fitted to at most ``SAMPLE`` labelled training texts, those with the smallest hash, and of these to no more than together have ``FEATURES`` features, by dual coordinate
+descent in one task; a fifth of them is kept back to fit the logistic curve that turns margins into scores.  The weights are ``BUCKETS`` numbers, whatever the input's size.
+
+*Joining.*  Labels first meet the narrow ids of the training texts.  What is left is broadcast to the texts if a count of its rows proves it to be at most ``SENT``;
+a larger table is joined by sort-merge, which moves the training texts once.
 
 *Defined results.*  Null and empty texts have no features: their score follows from the intercept.  Without labels of both classes the score is the
-share of label 1 (0.5 without labels).  A text with several labels counts once for each.
+share of label 1 (0.5 without labels).  A text with several labels counts once for each, and so do rows with equal ids.  Labels of other ids count nothing.
+Long texts have all their features; other columns are carried inside ``row``.
 """
 
 from __future__ import annotations
@@ -22,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from keysift.llm.words import LOWER, WORD_BYTES, byte_class, carried, column_bytes, find_words, slices, text_column
+from keysift.sources.staging import Staging
 
 BUCKETS = 1 << 18
 SAMPLE = 10_000
+FEATURES = 20_000_000
+SENT = 2_000_000
 EPOCHS = 12
 COST = 1.0
 ALPHA = 1.0
@@ -133,11 +140,23 @@ def logistic(margin: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple[f
     return float(at[0]), float(at[1])
 
 
-def _fit_rows(table: pa.Table, ratios: np.ndarray) -> Model:
-    label = table.column("label").to_numpy().astype(np.int64)
+def _bounded(batches: Iterator[pa.RecordBatch], most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of the first texts that together have no more than ``most`` features, one text at least."""
+    rows, labels, size = [], [], 0
+    for batch in batches:
+        for places, label in zip(batch.column("buckets"), batch.column("label").to_pylist()):
+            places = places.values.to_numpy().astype(np.int32)
+            size += len(places)
+            if rows and size > most:
+                return rows, np.array(labels, np.int64)
+            rows.append(places)
+            labels.append(label)
+    return rows, np.array(labels, np.int64)
+
+
+def _fit_rows(found: list[np.ndarray], label: np.ndarray, ratios: np.ndarray) -> Model:
     rows = []
-    for places in table.column("buckets").to_pylist():
-        places = np.array(places, np.int64)
+    for places in found:
         values = ratios[places]
         length = np.sqrt(values @ values)
         rows.append((np.append(places, BUCKETS), np.append(values / length if length > 0 else values, 1.0)))
@@ -157,13 +176,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model of the rows of ``docs`` that ``labels`` mark with 1 or 0."""
     texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     marks = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
-    # always a sort-merge join: the plan, and what it moves, is of one kind at every size
-    ratios, good, bad = log_ratios(texts.join(marks.hint("merge"), "id").select("text", "label"))
-    if not good or not bad:
+    ids = texts.select("id").filter("id IS NOT NULL").distinct()
+    staging = Staging(docs.sparkSession, "quality")
+    marks = staging.write(marks.join(ids, "id", "left_semi"), "marks")
+    marks = F.broadcast(marks) if marks.count() <= SENT else marks.hint("merge")  # the size is checked
+    labelled = texts.join(marks, "id")
+    ratios, good, bad = log_ratios(labelled.select("text", "label"))
+
+    def by_share() -> Model:
         share = good / (good + bad) if good + bad else 0.5
         odds = float(np.clip(np.log(share / (1 - share)) if 0 < share < 1 else (40 if share else -40), -40, 40))
         return Model(np.zeros(BUCKETS), ratios, 0.0, 0.0, odds)
-    sample = (marks.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "label").limit(SAMPLE))
+
+    if not good or not bad:
+        return by_share()
+    # the sample is one of labelled training texts; at most SAMPLE rows of three numbers each: a proven bound
+    sample = texts.select("id").join(marks, "id").withColumn("h", F.xxhash64("id")).distinct().orderBy("h", "id", "label").limit(SAMPLE)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
@@ -172,19 +200,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(bucket.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), lists], ["h", "label", "buckets"])
 
-    # at most SAMPLE rows of three numbers each: a proven bound
     chosen = texts.join(F.broadcast(sample), "id").select("h", "label", "text")
     rows = chosen.mapInArrow(sparse, "h long, label int, buckets array<int>").repartition(1).sortWithinPartitions("h", "label")
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
+        got, label = _bounded(batches, FEATURES)
         if got:
-            model = _fit_rows(pa.Table.from_batches(got), shared.value)
+            model = _fit_rows(got, label, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([[model.bias, model.slope, model.shift]])],
                                              ["weights", "numbers"])
 
     found = rows.mapInArrow(learn, "weights binary, numbers array<double>").first()
+    if found is None:
+        return by_share()
     return Model(np.frombuffer(bytes(found["weights"])), ratios, *found["numbers"])
 
 
