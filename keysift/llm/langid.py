@@ -1,18 +1,18 @@
 """Language identification by unigram piece models whose segmentations are summed out.
 
-The pieces are those of a fixed public vocabulary (read from its file, never trained) that consist of letters, lower-cased.  A language is a distribution over pieces.  The probability of a word (a run of letters, lower-cased, with the
-word-begin mark) is the sum over all its segmentations of the product of its pieces, by a forward recursion; the
+The pieces are those of a fixed public vocabulary (read from its file, never trained) that consist of ASCII letters and characters beyond ASCII, lower-cased, of any length.  A language is a distribution over
+pieces.  The probability of a word (a run of such characters, lower-cased, with the word-begin mark) is the sum over all its segmentations of the product of its pieces, by a forward recursion; the
 score of a text is the product over its words, and a language's prior is its share of the training documents.
 
 *Learning.*  Words are counted per language over all training texts, pre-aggregated in the tasks.  Starting from all pieces that occur,
 ``ROUNDS`` rounds of expectation-maximisation turn expected piece counts (forward and backward sums, weighted by word counts) into
 probabilities.  A model is languages x vocabulary numbers whatever the size of the corpus; only that is collected and broadcast.
 
-*Words* longer than ``CUT`` characters are cut every ``CUT`` characters, so a text without spaces costs no more than
-another; characters that no piece covers have a small fixed probability.
+*Words* of at most ``SHORT`` characters are taken many at a time.  A longer one is walked along in windows of ``WINDOW`` characters that carry the forward sums on, scaled
+so that they do not vanish: it is never cut, and a text without spaces costs in proportion to its length.  Characters that no piece covers have a small fixed probability.
 
 *Defined results.*  Null texts and texts without a letter are ``und`` with score 0.  Otherwise the score is the posterior of the predicted
-language.  Ties go to the language that sorts first.  Without training documents every text is ``und``.
+language.  Ties go to the language that sorts first.  Without training documents every text is ``und``.  Repeated rows get equal results; columns of any name are carried inside ``row``.
 """
 
 from __future__ import annotations
@@ -27,26 +27,27 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from keysift.llm.words import Words, byte_class, carried, column_bytes, find_words, slices, text_column
 from keysift.sources.staging import Staging
 
-CUT = 24
-LONGEST = 12
+SHORT = 24
+WINDOW = 1 << 14
+WORDS_AT_ONCE = 100_000
 ROUNDS = 2
 UNSEEN = 1e-7
 SMALL = 1e-9
 SMOOTH = 0.01
 KEPT = 400_000
-#: After lower-casing: letters of ASCII, and every byte of a character beyond ASCII.
+#: After lower-casing: letters of ASCII, and every byte of a character beyond ASCII, be it a letter or not.
 LETTERS = byte_class((0x61, 0x7A), (0x80, 0xFF))
 PRIME = np.uint64(0x100000001B3)
 MARK = "▁"
 
 
 def pieces_of(file: str) -> list[str]:
-    """Distinct lower-cased pieces, at most LONGEST characters, of a SentencePiece model file."""
+    """Distinct lower-cased pieces of a SentencePiece model file."""
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=file)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())
              if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in found if 0 < len(p) <= LONGEST and all(c > "\x7f" or "a" <= c <= "z" for c in p))
+    return sorted(p for p in found if p and all(c > "\x7f" or "a" <= c <= "z" for c in p))
 
 
 def public_pieces() -> str:
@@ -78,6 +79,7 @@ class Lattice:
         hashes = _hash_pieces(pieces)
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
+        self.longest = max(map(len, pieces), default=1)
 
     def spans(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(begin, end, piece of each word) of all spans, by end."""
@@ -85,13 +87,63 @@ class Lattice:
         running: dict[int, np.ndarray] = {}
         for end in range(1, length + 1):
             letter = codes[:, end - 1] + np.uint64(1)
-            running = {b: v * PRIME + letter for b, v in running.items() if end - b <= LONGEST}
+            running = {b: v * PRIME + letter for b, v in running.items() if end - b <= self.longest}
             running[end - 1] = letter.copy()
             for begin, value in running.items():
                 at = np.minimum(np.searchsorted(self.sorted, value), len(self.sorted) - 1)
                 yield begin, end, np.where(self.sorted[at] == value, self.order[at], -1)
 
 
+    def ends(self, codes: np.ndarray, before: int) -> list[list[tuple[int, int]]]:
+        """Of one stretch of characters: for each place from ``before`` on, the (length, piece) of what ends there; -1 for a character without a piece."""
+        out: list[list[tuple[int, int]]] = [[] for _ in range(len(codes) - before)]
+        value = np.zeros(len(codes), np.uint64)
+        for length in range(1, min(self.longest, len(codes)) + 1):
+            value = value[:len(codes) - length + 1] * PRIME + codes[length - 1:] + np.uint64(1)
+            at = np.minimum(np.searchsorted(self.sorted, value), len(self.sorted) - 1)
+            hit = np.flatnonzero(self.sorted[at] == value) if length > 1 else np.arange(len(value))
+            found = np.where(self.sorted[at[hit]] == value[hit], self.order[at[hit]], -1)
+            for k, piece in zip((hit + length - 1 - before).tolist(), found.tolist()):
+                if k >= 0:
+                    out[k].append((length, piece))
+        return out
+
+
+def _ends(lattice: Lattice, codes: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+    """``Lattice.ends`` of a long word, a window at a time; windows overlap by the longest piece."""
+    for at in range(0, len(codes), WINDOW):
+        before = min(at, lattice.longest - 1)
+        yield from lattice.ends(codes[at - before:at + WINDOW], before)
+
+
+def forward_long(lattice: Lattice, codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The log of ``forward`` for one word of any length: the last sums alone are held, scaled to the largest at every character."""
+    held, log = [np.ones(table.shape[1])], np.zeros(table.shape[1])
+    for found in _ends(lattice, codes):
+        now = sum(held[-length] * table[piece] for length, piece in found)
+        held = [x / now for x in held[-lattice.longest:]] + [np.ones(table.shape[1])]
+        log += np.log(now)
+    return log
+
+
+def expected_long(lattice: Lattice, codes: np.ndarray, table: np.ndarray, weight: float, out: np.ndarray) -> None:
+    """Adds one word's ``expected`` counts; the sums of its places, scaled, take some numbers for each character."""
+    found = list(_ends(lattice, codes))
+    ahead, scale = np.zeros(len(codes) + 1), np.ones(len(codes) + 1)  # ahead[i] is the sum up to i by the scales up to i
+    ahead[0] = 1
+    for end, pieces in enumerate(found, 1):
+        total = sum(ahead[end - length] * table[piece] / np.prod(scale[end - length + 1:end]) for length, piece in pieces)
+        ahead[end], scale[end] = 1.0, total
+    back = np.zeros(len(codes) + 1)  # the sum from i on by the scales behind i
+    back[-1] = 1
+    for end in range(len(codes), 0, -1):
+        for length, piece in found[end - 1]:
+            chance = table[piece] * back[end] / np.prod(scale[end - length + 1:end + 1])
+            back[end - length] += chance
+            out[piece] += weight * ahead[end - length] * chance
+    return None
+
+
 def forward(lattice: Lattice, codes: np.ndarray, table: np.ndarray) -> np.ndarray:
     """[word, language]: the summed probability of all segmentations.  ``table`` has a last row for characters without a piece."""
     n, length = codes.shape
@@ -128,8 +180,17 @@ def _texts(data: np.ndarray, words: Words, chosen: np.ndarray) -> list[str]:
     return [MARK + raw[words.start[i]:words.end[i]].decode("utf-8", "replace") for i in chosen]
 
 
-def _cut(words: list[str]) -> list[tuple[int, str]]:
-    return [(i, w[k:k + CUT]) for i, w in enumerate(words) for k in range(0, len(w), CUT)]
+def _by_length(words: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of the words, code points) of words of one length, at most ``most`` at a time; long words one by one."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    short = np.flatnonzero(sizes <= SHORT)
+    codes, _ = _codes([words[i] for i in short])
+    for length in np.unique(sizes[short]):
+        rows = np.flatnonzero(sizes[short] == length)
+        for part in np.array_split(rows, -(-len(rows) // most)):
+            yield short[part], codes[part, :length]
+    for i in np.flatnonzero(sizes > SHORT):
+        yield np.array([i]), _codes([words[i]])[0]
 
 
 class Model:
@@ -146,13 +207,9 @@ class Model:
         if self.lattice is None:
             self.lattice = Lattice(self.pieces)
         out = np.zeros((len(words), len(self.languages)))
-        cut = _cut(words)
-        owner = np.array([i for i, _ in cut], np.int64)
-        codes, sizes = _codes([w for _, w in cut])
-        for length in np.unique(sizes):
-            rows = np.flatnonzero(sizes == length)
-            for part in np.array_split(rows, -(-len(rows) // 8192)):
-                np.add.at(out, owner[part], np.log(forward(self.lattice, codes[part, :length], self.table)))
+        for places, codes in _by_length(words, 8192):
+            out[places] = (np.log(forward(self.lattice, codes, self.table)) if codes.shape[1] <= SHORT
+                           else forward_long(self.lattice, codes[0], self.table))
         return out
 
     def judge(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -226,6 +283,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", file: s
     if not languages:
         return model
     words = count_words(known, lang_col, text_col, staging)
+    # the table is small in bytes and dear to walk: so many words make a task
+    words = words.repartition(max(spark.sparkContext.defaultParallelism, -(-words.count() // WORDS_AT_ONCE)), "lang", "word")
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
@@ -236,14 +295,14 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", file: s
             for batch in batches:
                 langs = np.array([number[x] for x in batch.column("lang").to_pylist()])
                 weight = batch.column("n").to_numpy().astype(float)
-                cut = _cut(batch.column("word").to_pylist())
-                owner = np.array([i for i, _ in cut], np.int64)
-                codes, sizes = _codes([w for _, w in cut])
+                names = batch.column("word").to_pylist()
                 for k in np.unique(langs):
-                    for length in np.unique(sizes):
-                        rows = np.flatnonzero((sizes == length) & (langs[owner] == k))
-                        for part in np.array_split(rows, -(-len(rows) // 4096)) if len(rows) else ():
-                            sums[k] += expected(lattice, codes[part, :length], now.table[:, k], weight[owner[part]], len(now.pieces))
+                    own = np.flatnonzero(langs == k)
+                    for places, codes in _by_length([names[i] for i in own], 4096):
+                        if codes.shape[1] <= SHORT:
+                            sums[k] += expected(lattice, codes, now.table[:, k], weight[own[places]], len(now.pieces))
+                        else:
+                            expected_long(lattice, codes[0], now.table[:, k], float(weight[own[places[0]]]), sums[k])
             lang, piece = np.nonzero(sums[:, :-1])
             yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)),
                                               pa.array(sums[lang, piece])], ["lang", "piece", "n"])

@@ -371,17 +371,15 @@ def test_coordinate_descent_separates():
 # --- 10 language
 
 def brute_word(model, word, k):
+    """Log of the sum over all segmentations, with whole words and pieces of any length."""
     chance = {p: model.table[i, k] for i, p in enumerate(model.pieces)}
-    total = 0.0
-    for at in range(0, len(word), langid.CUT):
-        part = word[at:at + langid.CUT]
-        sums = [1.0] + [0.0] * len(part)
-        for end in range(1, len(part) + 1):
-            for begin in range(max(0, end - langid.LONGEST), end):
-                p = chance.get(part[begin:end], langid.UNSEEN if end - begin == 1 else 0.0)
-                sums[end] += sums[begin] * p
-        total += np.log(sums[-1])
-    return total
+    longest, sums, log = max(map(len, chance)), [1.0], 0.0
+    for end in range(1, len(word) + 1):
+        now = sum(sums[-n] * chance.get(word[end - n:end], 1e-7 if n == 1 else 0.0) for n in range(1, min(longest, len(sums)) + 1))
+        sums = [x / now for x in sums] + [1.0]
+        log += np.log(now)
+        sums = sums[-longest:]
+    return log
 
 
 def test_language_scores_equal_all_segmentations(spark, docs):
@@ -389,7 +387,7 @@ def test_language_scores_equal_all_segmentations(spark, docs):
     rows = [(i, english if i % 2 else german, "en" if i % 2 else "de", "s", 0) for i in range(8)] + [(50, None, "en", "s", 0), (51, "x", None, "s", 0)]
     model = langid.fit(spark.createDataFrame(rows, SCHEMA))
     assert model.languages == ["de", "en"]
-    tests = ["The garden!", "der Fluss", None, "", "123 ?!", "über" * 30, "日本語", "x" * 100_000, "the der"]
+    tests = ["The garden!", "der Fluss", None, "", "123 ?!", "über" * 30, "日本語", "x" * 100_000, "the der", "unfortunately transportation", "constitutional" * 9]
     got = {r["row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs(*tests), model).collect()}
     assert [got[i][0] for i in (0, 1)] == ["en", "de"] and [got[i] for i in (2, 3, 4)] == [("und", 0.0)] * 3
     for i, text in enumerate(tests):
