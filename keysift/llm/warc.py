@@ -8,8 +8,10 @@ smallest id is a response and the others are revisits that refer to it and carry
 *Reading.*  The selected records' index rows are put in order of file and offset; neighbours whose gap is at most
 ``GAP`` bytes are read as one range of up to ``RANGE`` bytes, and records are cut from it; results leave in batches of about that size.  A very long record is a range of its own.
 
-*Skew.*  Payloads are never shuffled to find copies: only digests are, pre-aggregated; digests that repeat are written as
-a table and joined, which the planner broadcasts below its limit and otherwise splits where a digest is hot.
+The tasks that read are as many as the records' bytes ask for, ``TASK`` each, and no fewer than the cluster has cores.
+
+*Skew.*  To find copies only digests are shuffled, pre-aggregated; those that repeat are written as a table.  If a count proves it to be of at most ``SENT`` rows it
+is broadcast to the pages and no payload moves; a larger one is joined by sort-merge, which moves each payload once and splits a hot digest.
 
 *Defined results.*  A null page has an empty payload and is a response; a null URL is written as an empty header.  Rows equal in id, URL and payload are
 one page and all responses; of rows equal in id and payload only, one URL leads.  Null ids come last among copies; a payload whose ids are all null is never a revisit.
@@ -32,6 +34,8 @@ from keysift.sources.staging import Staging
 REVISIT = 100
 GAP = 64 << 10
 RANGE = 4 << 20
+TASK = 64 << 20
+SENT = 1_000_000
 INDEX = T.StructType([T.StructField(n, k) for n, k in (
     ("id", T.LongType()), ("url", T.StringType()), ("file", T.StringType()), ("offset", T.LongType()), ("length", T.LongType()),
     ("digest", T.StringType()), ("payload_bytes", T.LongType()), ("record_type", T.StringType()), ("refers_to", T.LongType()))])
@@ -100,7 +104,8 @@ def write_archives(pages: DataFrame, staging: Staging, id_col: str = "page_id",
                         pages[html_col].cast("string").alias("html"))
     rows = rows.withColumn("uid", F.xxhash64("url"))
     copies = _copies(rows, staging)
-    joined = rows.withColumn("digest", _digest()).join(copies, "digest", "left")
+    few = copies.count() <= SENT  # the size is checked
+    joined = rows.withColumn("digest", _digest()).join(F.broadcast(copies) if few else copies.hint("merge"), "digest", "left")
     ready = joined.select("id", "url", "html", "digest", "first",
                           (F.col("first").isNotNull() & F.col("id").eqNullSafe(F.col("first"))
                            & F.col("uid").eqNullSafe(F.col("first_uid"))).alias("leads"))
@@ -134,7 +139,9 @@ def write_archives(pages: DataFrame, staging: Staging, id_col: str = "page_id",
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of the selected ``index`` rows, read in coalesced ranges; ``folder`` is that of the archives."""
     wanted = index.select("file", "offset", "length")
-    ordered = wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    volume = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-volume // TASK))
+    ordered = wanted.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(folder)
