@@ -142,6 +142,20 @@ def test_archives_give_back_what_was_written(spark):
     assert {r["id"] for r in some} == {7, 11}
 
 
+def test_copies_joined_by_sort_merge_and_read_in_many_tasks(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", f"payload {i % 7} " * 20) for i in range(200)], "page_id long, url string, html string").repartition(5)
+    want = None
+    for sent, task in ((warc.SENT, warc.TASK), (0, 500)):
+        monkeypatch.setattr(warc, "SENT", sent)
+        monkeypatch.setattr(warc, "TASK", task)
+        staging = Staging(spark, "test")
+        records = warc.read_records(warc.write_archives(pages, staging), staging.path("archives"))
+        assert records.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        got = sorted((r["id"], r["record_type"], r["refers_to"]) for r in records.collect())
+        want = want or got
+        assert got == want == [(i, "response" if i < 7 else "revisit", None if i < 7 else i % 7) for i in range(200)]
+
+
 def test_archives_of_an_empty_table(spark):
     staging = Staging(spark, "test")
     index = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), staging)
