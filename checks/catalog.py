@@ -11,11 +11,12 @@ from keysift.functions import (adjusted_entropy, clip_match, has_symbol, is_all_
                                is_one_case, is_sequential_or_repeated, redact)
 from keysift.operators import (allow, baseline, composite, detect, findings as fnd, gates, history,
                                verification as ver)
-from keysift.plans import (after_scan, archive_errors, archive_metrics, files_scanned, scan_archives,
-                           scan_composite, scan_files, scan_image_files, scan_roots, scan_table)
+from keysift.plans import (after_scan, archive_errors, archive_metrics, files_scanned, layer_reuse, scan_archives,
+                           scan_archives_distinct, scan_composite, scan_files, scan_image_files, scan_roots, scan_table)
 from keysift.rules import builtin_pack, pack_from_dict, rules_frame
 from keysift.sinks import report
-from keysift.sources import materialized, read_files, files_as_text, shared_folder, skipped_files
+from keysift.sources import (files_as_text, layer_manifest, materialized, read_files, shared_folder,
+                             skipped_files)
 from keysift.streaming import report_once, suppress_known, window_counts, write_stream
 
 COMPOSITE = {"rules": [
@@ -120,8 +121,14 @@ def q_scan_changed(spark, folder):
 IMAGE_LIMIT = 4_000_000
 
 
-def _archives(spark, folder) -> DataFrame:
-    """Documents packed into image archives, twenty per image and ten per layer; some of either are broken, cut, empty or too large."""
+BASES = 4
+
+
+def _archives(spark, folder, based: bool = False) -> DataFrame:
+    """Documents packed into image archives, twenty per image and ten per layer; some of either are broken, cut, empty or too large.
+
+    ``based`` images also have one of ``BASES`` base layers, made of the documents in the first layers of all.
+    """
     import gzip
     import io
     import tarfile
@@ -139,7 +146,12 @@ def _archives(spark, folder) -> DataFrame:
 
     def pack(frame):
         frame = frame.sort_values("doc_id")
-        layers, image = [], int(frame["doc_id"].iloc[0]) // 20
+        layers = []
+        base = frame[frame["base"]]
+        frame = frame[~frame["base"]]
+        image = int(frame["doc_id"].iloc[0]) // 20
+        if len(base):
+            layers.append((f"base{image % BASES}/layer.tar", tar(zip(base["path"], base["content"]))))
         for number, rows in frame.groupby(frame["doc_id"] // 10):
             layer = tar(zip(rows["path"], rows["content"]))
             layer = gzip.compress(layer) if number % 2 else layer
@@ -155,8 +167,13 @@ def _archives(spark, folder) -> DataFrame:
         return pd.DataFrame([(frame["image"].iloc[0], whole)], columns=["path", "content"])
 
     docs = cp.document_corpus(spark, folder).select(
-        "doc_id", "path", F.encode("content", "UTF-8").alias("content"),
-        F.concat(F.lit("image_"), F.floor(F.col("doc_id") / 20).cast("string")).alias("image"))
+        "doc_id", "path", F.encode("content", "UTF-8").alias("content"), F.floor(F.col("doc_id") / 20).alias("number"))
+    docs = docs.withColumn("base", F.lit(False))
+    if based:
+        first = docs.filter(F.floor(F.col("doc_id") / 10) < BASES).withColumn("kind", F.floor(F.col("doc_id") / 10)).drop("number")
+        images = docs.select("number").distinct().withColumn("kind", F.col("number") % BASES)
+        docs = docs.unionByName(images.join(F.broadcast(first), "kind").drop("kind").withColumn("base", F.lit(True)))
+    docs = docs.select("doc_id", "path", "content", "base", F.concat(F.lit("image_"), F.col("number").cast("string")).alias("image"))
     return docs.groupBy("image").applyInPandas(pack, "path string, content binary")
 
 
@@ -164,6 +181,19 @@ def q_scan_archives(spark, folder):
     return _plain(scan_archives(_archives(spark, folder), max_bytes=IMAGE_LIMIT), "image", "layer")
 
 
+def q_scan_archives_distinct(spark, folder):
+    """Archives on shared base layers, listed by path only; every different layer is opened once."""
+    paths = write_files(_archives(spark, folder, based=True), f"{shared_folder(spark)}/images-{uuid.uuid4().hex}", whole=True)
+    found = scan_archives_distinct(paths.select("path"), max_bytes=IMAGE_LIMIT)
+    return _plain(found, F.regexp_extract("image", r"([^/]*)$", 1).alias("image"), "layer")
+
+
+def q_layer_reuse(spark, folder):
+    """The base layers and how many images stand on each, and all other layers, each in one place."""
+    reuse = layer_reuse(layer_manifest(_archives(spark, folder, based=True), IMAGE_LIMIT))
+    return reuse.select("layer", "places", "images")
+
+
 def q_archive_metrics(spark, folder):
     return archive_metrics(_archives(spark, folder), IMAGE_LIMIT)
 
@@ -188,8 +218,8 @@ def q_scan_tree(spark, folder):
     return _plain(fnd.dedup(scan_table(texts)))
 
 
-def write_files(files: DataFrame, base: str) -> DataFrame:
-    """Each row's content as a file under ``base``; (path, length) of what was written."""
+def write_files(files: DataFrame, base: str, whole: bool = False) -> DataFrame:
+    """Each row's content as a file under ``base``; (path, length) of what was written, the ``whole`` path or that under ``base``."""
     def write(batches):
         import pyarrow as pa
         from pyarrow import fs
@@ -199,7 +229,8 @@ def write_files(files: DataFrame, base: str) -> DataFrame:
                 store.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
                 with store.open_output_stream(f"{root}/{path}", compression=None) as out:
                     out.write(content)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([len(c) for c in batch.column("content").to_pylist()])],
+            shown = [f"{base}/{p}" for p in batch.column("path").to_pylist()] if whole else batch.column("path")
+            yield pa.RecordBatch.from_arrays([pa.array(shown, pa.string()), pa.array([len(c) for c in batch.column("content").to_pylist()])],
                                              ["path", "length"])
     return materialized(files.select("path", "content").mapInArrow(write, "path string, length long"))
 

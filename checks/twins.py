@@ -380,6 +380,9 @@ def twins() -> dict[str, str]:
     layers = f"""SELECT 'image_' || CAST(doc_id // 20 AS VARCHAR) AS image,
         CAST(doc_id // 10 AS VARCHAR) || '/layer.tar' AS layer, path, content FROM ({IMAGE_FILES.replace(FILES, DOCS)})
         WHERE {GOOD_IMAGE} AND NOT {BAD_LAYER}"""
+    based = f""" UNION ALL SELECT 'image_' || CAST(number AS VARCHAR), 'base' || CAST(number % 4 AS VARCHAR) || '/layer.tar', path, content
+        FROM (SELECT DISTINCT doc_id // 20 AS number FROM documents) i JOIN ({IMAGE_FILES.replace(FILES, DOCS)}) f ON f.doc_id // 10 = number % 4
+        WHERE number % 11 NOT IN (4, 6)"""
     distinct = f"SELECT DISTINCT {PLAIN} FROM findings"
     kept_commits = " OR ".join(f"starts_with(commit, {lit(c)})" for c in _allowed_commits())
     hours = f"CAST(floor({STAMP} / 3600) * 3600 AS BIGINT)"
@@ -396,6 +399,14 @@ def twins() -> dict[str, str]:
         "scan_changed": on_findings(f"SELECT {PLAIN} FROM findings", changed),
         "scan_archives": f"""WITH {findings(layers, keep='image, layer')} SELECT {PLAIN.replace(
             'tags', "tags || ',docker-layer' AS tags")}, image, layer FROM findings""",
+        "scan_archives_distinct": f"""WITH {findings(layers + based, keep='image, layer')} SELECT {PLAIN.replace(
+            'tags', "tags || ',docker-layer' AS tags")}, image, layer FROM findings""",
+        "layer_reuse": f"""SELECT min(layer) AS layer, count(*) AS places, count(DISTINCT image) AS images FROM (
+            SELECT DISTINCT doc_id // 20 AS image, CAST(doc_id // 10 AS VARCHAR) || '/layer.tar' AS layer,
+              CASE WHEN doc_id // 10 % 7 = 3 THEN 'broken' WHEN doc_id // 10 IN (0, 2) THEN 'base' ELSE '' END
+              || CASE WHEN doc_id // 10 % 7 = 3 THEN '' ELSE CAST(doc_id // 10 AS VARCHAR) END AS digest FROM documents WHERE {GOOD_IMAGE}
+            UNION ALL SELECT DISTINCT doc_id // 20, 'base' || CAST(doc_id // 20 % 4 AS VARCHAR) || '/layer.tar',
+              'base' || CAST(doc_id // 20 % 4 AS VARCHAR) FROM documents WHERE {GOOD_IMAGE}) GROUP BY digest""",
         "archive_metrics": f"""SELECT 'image_' || CAST(doc_id // 20 AS VARCHAR) AS image,
             count(DISTINCT CASE WHEN {GOOD_IMAGE} THEN doc_id // 10 END) AS layers_scanned,
             count(*) FILTER ({GOOD_IMAGE} AND NOT {BAD_LAYER}) AS files,

@@ -9,11 +9,13 @@ from keysift.operators.baseline import new_findings
 from keysift.operators.composite import composite_matches
 from keysift.operators.detect import rule_matches
 from keysift.operators.findings import as_findings, dedup, filter_severity, gate_matches
+from keysift.operators.history import salted_join
 from keysift.operators.gates import MAX_FILE_BYTES, MAX_IMAGE_BYTES, gate_files, gate_image_files, gate_paths, readable_text
 from keysift.operators.verification import verify_findings
 from keysift.rules.pack import RulePack, builtin_pack
-from keysift.sources.archives import expand_archives
+from keysift.sources.archives import expand_archives, expand_layers, layer_manifest, one_place_each
 from keysift.sources.files import files_as_text
+from keysift.sources.staging import materialized
 
 
 def scan_table(df: DataFrame, pack: RulePack | None = None, path: str = "path", text: str = "content",
@@ -70,6 +72,27 @@ def scan_archives(archives: DataFrame, pack: RulePack | None = None, max_bytes:
     return found.withColumn("tags", F.array_append("tags", "docker-layer"))
 
 
+def scan_archives_distinct(archives: DataFrame, pack: RulePack | None = None, max_bytes: int = MAX_IMAGE_BYTES,
+                           manifest: DataFrame | None = None, **options) -> DataFrame:
+    """``scan_archives`` in which a layer that stands in many images is opened and matched once.
+
+    Findings of a layer go back to every place where it stands; a base layer of very many images is spread by salt.  ``manifest``
+    is the archives' ``layer_manifest``, where one is kept; else it is made and written to the shared folder.
+    """
+    manifest = materialized(layer_manifest(archives, max_bytes)) if manifest is None else manifest
+    files = expand_layers(archives, one_place_each(manifest), max_bytes).filter(F.col("path").isNotNull() & F.col("error").isNull())
+    found = scan_image_files(files.drop("layer"), pack, keep=("digest",), **options)
+    places = manifest.filter(F.col("place").isNotNull()).select("image", "layer", "place", "digest")
+    placed = salted_join(places, found, "digest", ["image", "place"]).drop("digest", "place")
+    return placed.select(*[c for c in found.columns if c != "digest"], "image", "layer").withColumn("tags", F.array_append("tags", "docker-layer"))
+
+
+def layer_reuse(manifest: DataFrame) -> DataFrame:
+    """(digest, layer, length, places, images) of each different layer: in how many places and images it stands; ``layer`` is the first of its names."""
+    return manifest.filter(F.col("place").isNotNull()).groupBy("digest").agg(
+        F.min("layer").alias("layer"), F.max("length").alias("length"), F.count("*").alias("places"), F.countDistinct("image").alias("images"))
+
+
 def archive_metrics(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
     """(image, layers_scanned, files, errors) for every image, also one without layers, in one pass without file contents.
 

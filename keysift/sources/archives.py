@@ -5,12 +5,17 @@ streamed one entry at a time; nothing is held but the file being read.  Everythi
 
 Nothing is lost silently: an archive gives one row of its own, a layer one row before it is opened, and whatever cannot be
 read (a broken or cut archive or layer, a bad compression header, a short or over-long file) one row with the error.
+
+Most layers of a fleet of images are the same few base layers.  ``layer_manifest`` streams each archive once for the digests of its layers alone;
+``expand_layers`` then opens each different layer in one of the places where it stands.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import json
 import tarfile
 import zlib
 from collections.abc import Iterator
@@ -102,6 +107,49 @@ def _images(image: str, stream: BinaryIO, max_bytes: int, bodies: bool) -> Itera
         yield image, None, None, None, None, f"tar error: {error}"
 
 
+def _digests(image: str, stream: BinaryIO, max_bytes: int) -> Iterator[tuple]:
+    """(image, place, layer, digest, length, error): the image itself without a place, its layers by their place in the archive, and what can't be read."""
+    yield image, None, None, None, None, None
+    place = 0
+    try:
+        if not stream.peek(1):
+            return
+        for archive, entry in _entries(stream):
+            if entry.isdir():
+                continue
+            if entry.size > max_bytes:
+                yield image, None, entry.name, None, entry.size, f"skipping large file: {entry.name} ({entry.size} bytes)"
+            elif entry.name.endswith(".tar") and entry.isreg():
+                body, digest, length = archive.extractfile(entry), hashlib.sha256(), 0
+                try:
+                    while piece := body.read(PIECE):
+                        digest.update(piece)
+                        length += len(piece)
+                finally:  # a layer that the archive's end cuts counts as far as it goes
+                    yield image, place, entry.name, digest.hexdigest(), length, None
+                place += 1
+    except BROKEN as error:
+        yield image, None, None, None, None, f"tar error: {error}"
+
+
+def _chosen(image: str, stream: BinaryIO, places: dict[int, str], max_bytes: int) -> Iterator[tuple]:
+    """The files of the layers at ``places``, named by digest instead of image; what fails is a row as in ``_files``."""
+    place, left = 0, set(places)
+    try:
+        for archive, entry in _entries(stream):
+            if entry.isdir() or entry.size > max_bytes or not (entry.name.endswith(".tar") and entry.isreg()):
+                continue
+            if place in left:
+                left.discard(place)
+                for _, layer, path, length, content, error in _files(image, entry.name, io.BufferedReader(archive.extractfile(entry), PIECE), max_bytes, True):
+                    yield places[place], layer, path, length, content, error
+                if not left:
+                    return
+            place += 1
+    except BROKEN:
+        return  # the manifest has the error
+
+
 def _batches(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
     """Rows in frames of limited size."""
     held, size = [], 0
@@ -147,3 +195,57 @@ def expand_archives(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES, bodie
                     yield from _batches(_images(image, stream, max_bytes, bodies))
 
     return kept.mapInPandas(split, FILE_SCHEMA)
+
+
+MANIFEST_SCHEMA = "image string, place int, layer string, digest string, length bigint, error string"
+
+
+def layer_manifest(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
+    """(image, place, layer, digest, length, error): a row for each image, each layer with the digest of its bytes, and each error; no file is opened.
+
+    ``archives`` is as in ``expand_archives``.
+    """
+    held = "content" in archives.columns
+    kept = archives.select("path", "content") if held else archives.select("path", F.lit(None).cast("binary").alias("content"))
+    names = ["image", "place", "layer", "digest", "length", "error"]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for image, content in zip(frame["path"], frame["content"]):
+                try:
+                    if held and content is None:
+                        raise ValueError("no content")
+                    with _opened(image, content) as stream:
+                        rows = list(_digests(image, stream, max_bytes))  # one small row for each layer
+                except (OSError, ValueError) as error:
+                    rows = [(image, *[None] * 5), (image, *[None] * 4, f"tar error: {error}")]
+                yield pd.DataFrame(rows, columns=names).astype({"place": "Int32", "length": "Int64"})
+
+    return kept.mapInPandas(read, MANIFEST_SCHEMA)
+
+
+def one_place_each(manifest: DataFrame) -> DataFrame:
+    """(image, places): of each different layer the first place in order of image and place, gathered by image."""
+    first = (manifest.filter(F.col("place").isNotNull()).groupBy("digest")
+             .agg(F.min(F.struct("image", "place")).alias("at")).select("at.image", "at.place", "digest"))
+    # no more entries than the image has layers
+    return first.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("place", "digest"))).alias("places"))
+
+
+def expand_layers(archives: DataFrame, places: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
+    """(digest, layer, path, length, content, error) of the layers at ``places`` (image, places); other archives are not opened, other layers passed over.
+
+    Archives given by path are narrow rows; given with content they meet ``places`` by broadcast where Spark finds that small.
+    """
+    held = "content" in archives.columns
+    wanted = archives.join(places.withColumnRenamed("image", "path"), "path")
+    rows = wanted.select("path", "content" if held else F.lit(None).cast("binary").alias("content"), F.to_json("places").alias("places"))
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for image, content, at in zip(frame["path"], frame["content"], frame["places"]):
+                with _opened(image, content) as stream:
+                    for batch in _batches(_chosen(image, stream, {int(k): v for k, v in json.loads(at).items()}, max_bytes)):
+                        yield batch.rename(columns={"image": "digest"})
+
+    return rows.mapInPandas(split, FILE_SCHEMA.replace("image string", "digest string"))
