@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from checks import corpus as cp
 from keysift.functions import (adjusted_entropy, clip_match, has_symbol, is_all_lowercase, is_base64, is_hex,
                                is_one_case, is_sequential_or_repeated, redact)
-from keysift.operators import (allow, baseline, composite, detect, findings as fnd, gates, history,
+from keysift.operators import (allow, baseline, composite, detect, findings as fnd, gates, history, merkle,
                                verification as ver)
 from keysift.plans import (after_scan, archive_errors, archive_metrics, files_scanned, layer_reuse, scan_archives,
                            scan_archives_distinct, scan_composite, scan_files, scan_image_files, scan_roots, scan_table)
-from keysift.rules import builtin_pack, pack_from_dict, rules_frame
+from keysift.rules import builtin_pack, pack_from_dict, rejected_rules_frame, rules_frame
 from keysift.sinks import report
 from keysift.sources import (files_as_text, layer_manifest, materialized, read_files, shared_folder,
                              skipped_files)
@@ -93,6 +93,21 @@ def q_scan_commit_range(spark, folder):
     return _plain(history.scan_history(commits, builtin_pack(), context=2), "commit")
 
 
+def q_scan_history_incremental(spark, folder):
+    """Two runs over growing commits that share a memo; the second matches only what the first has not seen."""
+    commits, memo = cp.commit_corpus(spark, folder), f"{shared_folder(spark)}/memo-{uuid.uuid4().hex}"
+    history.scan_history_incremental(history.commit_range(commits, upto=29), builtin_pack(), memo, context=2)
+    return _plain(history.scan_history_incremental(commits, builtin_pack(), memo, context=2), "commit")
+
+
+def q_commit_prefixes(spark, folder):
+    """The allowed commits as a table of prefixes, which also holds ten thousand others."""
+    other = spark.range(10_000).select(F.left(F.sha2(F.col("id").cast("string"), 256), (F.col("id") % 20 + 12).cast("int")).alias("prefix"))
+    listed = other.unionByName(spark.createDataFrame([(c,) for c in [*_allowed_commits(), ""]], "prefix string"))
+    kept = history.drop_listed_commits(cp.commit_corpus(spark, folder), listed)
+    return kept.groupBy("commit").agg(F.count("*").alias("files"))
+
+
 def q_commits_scanned(spark, folder):
     return history.commits_scanned(cp.commit_corpus(spark, folder))
 
@@ -118,6 +133,22 @@ def q_scan_changed(spark, folder):
     return _plain(scan_table(history.only_changed(new, changed)))
 
 
+def _changes(spark, folder) -> DataFrame:
+    old, new = (merkle.tree(merkle.file_digests(cp.snapshot(spark, folder, step))) for step in (2, 3))
+    return merkle.changed_paths(materialized(old), materialized(new))
+
+
+def q_changed_files(spark, folder):
+    """What differs between the last two snapshots, found through digests of folders."""
+    return _changes(spark, folder)
+
+
+def q_scan_changed_manifest(spark, folder):
+    """``scan_changed`` by the trees of both snapshots."""
+    changed = _changes(spark, folder).filter("change <> 'removed'")
+    return _plain(scan_table(history.only_changed(cp.snapshot(spark, folder, 3), changed)))
+
+
 IMAGE_LIMIT = 4_000_000
 
 
@@ -213,7 +244,7 @@ def q_skipped_files(spark, folder):
 def q_scan_tree(spark, folder):
     """The documents written as one file each to the shared folder, listed, gated, read and scanned."""
     base = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
-    write_files(cp.file_corpus(spark, folder).filter(~F.col("path").contains("..")), base).count()
+    write_files(cp.file_corpus(spark, folder), base).count()
     texts = files_as_text(read_files(spark, base, builtin_pack(), relative=True))
     return _plain(fnd.dedup(scan_table(texts)))
 
@@ -489,9 +520,28 @@ def q_baseline_resolved(spark, folder):
     return baseline.resolved_findings(new, old).withColumn("line", F.col("line").cast("bigint"))
 
 
+def q_baseline_roundtrip(spark, folder):
+    """New findings against a baseline that was published twice and read back; readers get the last version."""
+    old, new = _old_new(spark, folder)
+    root = f"{shared_folder(spark)}/baseline-{uuid.uuid4().hex}"
+    baseline.publish_baseline(new, root)
+    baseline.publish_baseline(old, root)
+    left = baseline.new_findings(new, baseline.published_baseline(spark, root))
+    return baseline.baseline_rows(left).withColumn("line", F.col("line").cast("bigint"))
+
+
+def q_baseline_compare_bucketed(spark, folder):
+    """``baseline_compare`` against a baseline that lies in buckets and is not moved."""
+    old, new = _old_new(spark, folder)
+    name = f"baseline_{uuid.uuid4().hex}"
+    baseline.save_bucketed(old, name, f"{shared_folder(spark)}/{name}", buckets=8)
+    return baseline.compare_with_bucketed(new, name).select(
+        "rule_id", "fingerprint", "match", "file", _long("line"), "severity", "description", "status")
+
+
 def _compared(spark, folder, key="fingerprint") -> DataFrame:
     old, new = _old_new(spark, folder)
-    return baseline.compare_with_baseline(new, materialized(old), key)
+    return baseline.compare_with_baseline(new, old, key)
 
 
 def q_baseline_compare(spark, folder):
@@ -558,6 +608,66 @@ def q_sink_jsonl(spark, folder):
                        F.array_join("context", "\n").alias("context"))
 
 
+def _hot_docs(spark, folder) -> DataFrame:
+    """Every second document as part of one file."""
+    hot = F.when(F.col("doc_id") % 2 == 0, F.lit("hot/all.txt")).otherwise(F.col("path"))
+    return _docs(spark, folder).select(F.explode(F.array(F.struct(hot.alias("path"), "content"))).alias("x")).select("x.*")
+
+
+def q_findings_by_file(spark, folder):
+    """Findings with their rank in the file, one file having half of them."""
+    found = fnd.findings_by_file(fnd.dedup(scan_table(_hot_docs(spark, folder), context=None)))
+    return found.select("file", "rule_id", _long("line"), _long("column"), "match", _long("rank"), _long("place"))
+
+
+def q_report_document(spark, folder):
+    """The report as one JSON object in many part files, taken apart again."""
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    report.write_json(scan_table(_hot_docs(spark, folder)), path)
+    items = report.document_items(spark, path)
+    back = report.parsed_items(items, "rule_id string, match string, file string, line bigint, column bigint, severity string, fingerprint string, context array<string>")
+    return back.withColumn("context", F.array_join("context", "\n"))
+
+
+def q_sarif_document(spark, folder):
+    """The SARIF log in many part files, taken apart again."""
+    path = f"{shared_folder(spark)}/sarif-{uuid.uuid4().hex}"
+    report.write_sarif(scan_table(_hot_docs(spark, folder), context=None), path)
+    shape = ("ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,"
+             "region:struct<startLine:bigint,startColumn:bigint,snippet:struct<text:string>>>>>, partialFingerprints struct<primary:string>")
+    back = report.parsed_items(report.document_items(spark, path), shape)
+    place = F.col("locations")[0]["physicalLocation"]
+    return back.select(F.col("ruleId").alias("rule_id"), "level", F.col("message.text").alias("message"), place["artifactLocation"]["uri"].alias("file"),
+                       place["region"]["startLine"].alias("line"), place["region"]["startColumn"].alias("column"),
+                       place["region"]["snippet"]["text"].alias("snippet"), F.col("partialFingerprints.primary").alias("fingerprint"))
+
+
+def q_sink_formats(spark, folder):
+    """The findings written in every format by its name, and how many each file set holds."""
+    found, rows = materialized(_found(spark, folder)), None
+    for name in report.WRITERS:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        report.write_findings(found, path, name.upper())
+        back = (report.document_items(spark, path) if name in ("json", "sarif") else spark.read.json(path) if name == "jsonl"
+                else spark.read.options(header=True, multiLine=True, escape='"', sep="," if name == "csv" else "\t").csv(path))
+        one = back.agg(F.lit(name).alias("format"), F.count("*").alias("findings"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+REJECTED = {"rules": [
+    {"id": "looks-ahead", "regex": "token(?=x)", "keywords": ["token"]}, {"id": "unclosed", "regex": "([a-z]+", "keywords": ["password"]},
+    {"id": "matches-nothing", "regex": "a*", "keywords": ["the"]}, {"id": "sound", "regex": "secret[0-9]+", "keywords": ["secret"]}]}
+
+
+def q_rejected_rules(spark, folder):
+    """Rules that are listed instead of run, with the number of documents that hold their keyword."""
+    rejected = rejected_rules_frame(spark, pack_from_dict(REJECTED)).select("id", "regex", (F.length("reason") > 0).alias("has_reason"))
+    held = [F.count_if(F.lower("content").contains(r["keywords"][0])).alias(r["id"]) for r in REJECTED["rules"]]
+    counts = _docs(spark, folder).agg(*held).unpivot([], [F.col(f"`{r['id']}`") for r in REJECTED["rules"]], "id", "documents")
+    return rejected.join(counts, "id")
+
+
 def q_csv_rows(spark, folder):
     rows = report.csv_rows(_found(spark, folder), redact=True)
     return rows.withColumns({"Line": F.col("Line").cast("bigint"), "Column": F.col("Column").cast("bigint")})
@@ -627,6 +737,27 @@ def q_findings_by_sliding_hours(spark, folder):
     return _stamped(window_counts(found, width="2 hours", slide="1 hour"))
 
 
+STREAM_PARTS, STREAM_DELAY = 4, 7200
+
+
+def q_stream_window_counts(spark, folder):
+    """Counts per closed hour of a stream that comes in four parts, each run going on from the one before.
+
+    Every seventh document comes one part late, behind the watermark, and is left out; hours that the last watermark has not passed are not closed yet.
+    """
+    base = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    found = scan_table(_timed(_docs(spark, folder)), keep=("ts", "doc_id"), context=None).select("doc_id", "ts", "severity")
+    last = F.lit(_docs(spark, folder).agg(F.max("doc_id")).first()[0])
+    part = F.floor(F.col("doc_id") * STREAM_PARTS / (last + 1)) + (F.col("doc_id") % 7 == 3).cast("int")
+    parts = materialized(found.withColumn("part", part.cast("int")))
+    schema = parts.drop("part").schema
+    for k in range(STREAM_PARTS + 1):
+        parts.filter(F.col("part") == k).drop("part").write.mode("append").parquet(f"{base}/in")
+        counts = window_counts(spark.readStream.schema(schema).parquet(f"{base}/in"), delay=f"{STREAM_DELAY} seconds")
+        write_stream(counts, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return _stamped(spark.read.schema(counts.schema).parquet(f"{base}/out"))
+
+
 def _stamped(counts: DataFrame) -> DataFrame:
     return counts.select(*[F.unix_timestamp(c).alias(c) for c in ("window_start", "window_end")],
                          "severity", "findings")

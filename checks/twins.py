@@ -10,7 +10,7 @@ import tomllib
 from pathlib import Path
 
 import keysift.rules
-from checks.catalog import COMPOSITE, KEYLESS, _allowed_commits
+from checks.catalog import COMPOSITE, KEYLESS, REJECTED, _allowed_commits
 from checks.corpus import ALPHABETS, MARKER, PATH_KINDS, PATHS, PLANT_KINDS, PLANTS
 
 BUILTIN = tomllib.loads(Path(keysift.rules.__file__).with_name("builtin.toml").read_text(encoding="utf-8"))
@@ -384,6 +384,7 @@ def twins() -> dict[str, str]:
         FROM (SELECT DISTINCT doc_id // 20 AS number FROM documents) i JOIN ({IMAGE_FILES.replace(FILES, DOCS)}) f ON f.doc_id // 10 = number % 4
         WHERE number % 11 NOT IN (4, 6)"""
     distinct = f"SELECT DISTINCT {PLAIN} FROM findings"
+    hot = f"SELECT CASE WHEN doc_id % 2 = 0 THEN 'hot/all.txt' ELSE path END AS path, content FROM ({DOCS})"
     kept_commits = " OR ".join(f"starts_with(commit, {lit(c)})" for c in _allowed_commits())
     hours = f"CAST(floor({STAMP} / 3600) * 3600 AS BIGINT)"
     return {
@@ -393,6 +394,13 @@ def twins() -> dict[str, str]:
         "scan_image_dir": on_findings(f"SELECT {PLAIN} FROM findings", IMAGE_FILES),
         "scan_history": f"WITH {history} SELECT {PLAIN}, commit FROM findings",
         "scan_commit_range": f"WITH {in_range} SELECT {PLAIN}, commit FROM findings",
+        "scan_history_incremental": f"WITH {history} SELECT {PLAIN}, commit FROM findings",
+        "commit_prefixes": f"""SELECT commit, count(*) AS files FROM ({COMMITS}) WHERE NOT ({kept_commits}) GROUP BY commit""",
+        "changed_files": f"""SELECT coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed'
+            ELSE 'modified' END AS change FROM (SELECT * FROM ({COMMITS}) WHERE step = 3) n
+            FULL OUTER JOIN (SELECT * FROM ({COMMITS}) WHERE step = 2) o ON n.path = o.path
+            WHERE n.content IS DISTINCT FROM o.content""",
+        "scan_changed_manifest": on_findings(f"SELECT {PLAIN} FROM findings", changed),
         "commits_scanned": f"SELECT count(DISTINCT commit) AS commits_scanned FROM ({COMMITS})",
         "commit_allowlist": f"""SELECT commit, count(*) AS files FROM ({COMMITS})
             WHERE NOT ({kept_commits}) GROUP BY commit""",
@@ -512,6 +520,8 @@ def twins() -> dict[str, str]:
               count(*) AS findings FROM n GROUP BY ALL
             UNION ALL SELECT file, rule_id, 'resolved', count(*) FROM o
               WHERE key NOT IN (SELECT key FROM n) GROUP BY ALL"""),
+        "baseline_roundtrip": old_new(f"SELECT {base6} FROM new WHERE fingerprint NOT IN (SELECT fingerprint FROM old)"),
+        "baseline_compare_bucketed": compared(f"SELECT {base6}, description, status FROM compared"),
         "baseline_stats": compared("SELECT status, severity, count(*) AS findings FROM compared "
                                    "GROUP BY CUBE (status, severity)"),
         "baseline_totals": compared("SELECT count(*) AS total, " + ", ".join(
@@ -526,6 +536,18 @@ def twins() -> dict[str, str]:
         "report_json": on_findings(f"""SELECT findings, files_scanned, CAST(0 AS BIGINT) AS commits_scanned,
             {SUMMARY} AS summary, {SUMMARY} AS json_summary FROM ({TOTALS}), ({FILES_SCANNED})"""),
         "sink_jsonl": on_findings('SELECT rule_id, match, file, line, "column", fingerprint, context FROM findings'),
+        "findings_by_file": on_findings(f"""SELECT file, rule_id, line, "column", match,
+            row_number() OVER (PARTITION BY file ORDER BY line, "column", rule_id, match) AS rank,
+            row_number() OVER (ORDER BY encode(file), line, "column", rule_id, match) AS place
+            FROM (SELECT DISTINCT file, rule_id, line, "column", match, fingerprint FROM findings)""", hot),
+        "report_document": on_findings('SELECT rule_id, match, file, line, "column", severity, fingerprint, context FROM findings', hot),
+        "sarif_document": on_findings(f"""SELECT rule_id, {LEVEL} AS level, description || ': ' || match AS message, file, line, "column",
+            CASE WHEN {BYTES.format('match')} > 100 THEN left(match, 100) || '...' ELSE match END AS snippet, fingerprint FROM findings""", hot),
+        "sink_formats": on_findings("""SELECT unnest(['json', 'jsonl', 'csv', 'sarif', 'text']) AS format, n AS findings
+            FROM (SELECT count(*) AS n FROM findings)"""),
+        "rejected_rules": "SELECT id, regex, TRUE AS has_reason, documents FROM (VALUES " + ", ".join(
+            f"({lit(r['id'])}, {lit(r['regex'])}, {lit(r['keywords'][0])})" for r in REJECTED["rules"][:3]) + f""") r(id, regex, keyword),
+            LATERAL (SELECT count(*) AS documents FROM ({DOCS}) WHERE contains(lower(content), keyword))""",
         "csv_rows": on_findings(f"""SELECT rule_id AS "Rule ID", description AS "Description",
             {REDACTED.format('match')} AS "Match", file AS "File", line AS "Line", "column" AS "Column",
             severity AS "Severity", tags AS "Tags", printf('%.2f', entropy) AS "Entropy",
@@ -546,6 +568,12 @@ def twins() -> dict[str, str]:
             "WHERE step = 3", keep="known") + " AND fingerprint NOT IN (SELECT fingerprint FROM findings WHERE known)",
         "findings_by_hour": on_findings(f"""SELECT {hours} AS window_start, {hours} + 3600 AS window_end, severity,
             count(*) AS findings FROM findings GROUP BY ALL""", keep="doc_id"),
+        # Part k is cut off at the latest time of the parts before it, less the delay; what is closed by the last watermark is out.
+        "stream_window_counts": on_findings(f""", timed AS (SELECT severity, {STAMP} AS ts, {hours} AS hour, doc_id * 4 // (SELECT max(doc_id) + 1 FROM documents)
+              + CAST(doc_id % 7 = 3 AS INTEGER) AS part FROM findings),
+            marks AS (SELECT p.part, max(t.ts) - 7200 AS mark FROM (SELECT unnest(range(1, 6)) AS part) p JOIN timed t ON t.part < p.part GROUP BY p.part)
+            SELECT hour AS window_start, hour + 3600 AS window_end, severity, count(*) AS findings FROM timed LEFT JOIN marks USING (part)
+            WHERE hour + 3600 > coalesce(mark, 0) AND hour + 3600 <= (SELECT max(mark) FROM marks) GROUP BY ALL""", keep="doc_id"),
         "findings_by_sliding_hours": on_findings(f"""SELECT w AS window_start, w + 7200 AS window_end, severity,
             count(*) AS findings FROM (SELECT severity, unnest([{hours}, {hours} - 3600]) AS w FROM findings)
             GROUP BY ALL""", keep="doc_id"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysift.functions.text import stable_fingerprint
+from keysift.sources.published import Published
 from keysift.sources.staging import materialized
 
 SALTS = 16
@@ -34,6 +35,39 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*BASELINE_COLUMNS)
 
 
+def publish_baseline(findings: DataFrame, root: str) -> int:
+    """Makes ``findings`` the next version of the baseline at ``root``, in one step; readers see the one before until then."""
+    return Published(findings.sparkSession, root).replace(baseline=baseline_rows(findings))
+
+
+def published_baseline(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The baseline at ``root``, its current version unless told; without any an error, so that a wrong path does not pass for an empty baseline."""
+    found = Published(spark, root).read("baseline", version)
+    if found is None:
+        raise FileNotFoundError(f"no baseline at {root}")
+    return found.select(*BASELINE_COLUMNS)
+
+
+def save_bucketed(findings: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """The baseline as a table of the catalog, one row for each fingerprint, bucketed and sorted by it, so that comparing does not move it."""
+    once = baseline_rows(findings).dropDuplicates(["fingerprint"])
+    # one file for each bucket, so that Spark reads the buckets as sorted
+    (once.repartition(buckets, "fingerprint").write.bucketBy(buckets, "fingerprint").sortBy("fingerprint").mode("overwrite")
+     .option("path", path).saveAsTable(table))
+
+
+def compare_with_bucketed(findings: DataFrame, table: str) -> DataFrame:
+    """``compare_with_baseline`` against a table of ``save_bucketed``, for findings with one row for each fingerprint (see ``dedup``).
+
+    Only the findings are exchanged, into the table's buckets; the baseline is read where it lies.
+    """
+    was = findings.sparkSession.table(table).select(*[F.col(c).alias(f"_{c}") for c in BASELINE_COLUMNS])
+    met = findings.hint("merge").join(was, F.col("fingerprint") == F.col("_fingerprint"), "full")
+    status = F.when(F.col("_fingerprint").isNull(), "new").when(F.col("fingerprint").isNull(), "resolved").otherwise("existing")
+    shown = [F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in BASELINE_COLUMNS else F.col(c) for c in findings.columns]
+    return met.select(*shown, status.alias("status"))
+
+
 def load_baseline_json(spark: SparkSession, path: str) -> DataFrame:
     """A baseline kept as one JSON document; a broken one raises."""
     return (spark.read.schema(BASELINE_SCHEMA).option("multiLine", True).option("mode", "FAILFAST")
@@ -81,18 +115,21 @@ def compare_with_baseline(findings: DataFrame, baseline: DataFrame | None,
 
     Repeated current findings all stay.  One key may stand for a large share of them (one file of a base image in very many images),
     so the known keys go out once per salt and findings are spread by all their columns; nothing is joined full outer, which could not be split.
-    The findings are read twice, so they are written to the shared folder first.
+    The baseline is read once and written to the shared folder as a row for each key; so are the findings, which are read twice.
     """
     if baseline is None:
         return findings.withColumn("status", F.lit("new"))
+    first = F.min(F.struct("line", "severity", "match", "rule_id", "fingerprint", "file")).alias("_row")
     findings = materialized(findings)
-    salted = _known(baseline, key).select(key, F.lit(True).alias("_seen"),
-                                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    once = materialized(_keyed(baseline, key).groupBy(F.col(key).alias("_key")).agg(first))
+    keyed = _keyed(findings, key)
+    salted = once.select(F.col("_key").alias(key), F.lit(True).alias("_seen"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     spread = F.pmod(F.xxhash64(*[c for c in findings.columns if not c.startswith("_")], F.monotonically_increasing_id()),
                     F.lit(SALTS)).cast("int")
-    found = (_keyed(findings, key).withColumn("_salt", spread).join(salted, [key, "_salt"], "left")
+    found = (keyed.withColumn("_salt", spread).join(salted, [key, "_salt"], "left")
              .select(*findings.columns, F.when(F.col("_seen"), "existing").otherwise("new").alias("status")))
-    gone = resolved_findings(findings, baseline, key).withColumn("status", F.lit("resolved"))
+    now = keyed.select(F.col(key).alias("_key")).distinct()
+    gone = once.join(now, "_key", "left_anti").select(*[F.col("_row")[c].alias(c) for c in BASELINE_COLUMNS], F.lit("resolved").alias("status"))
     return found.unionByName(gone, allowMissingColumns=True)
 
 

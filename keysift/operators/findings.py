@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keysift.functions.entropy import adjusted_entropy
 from keysift.functions.text import fingerprint, redact
 from keysift.operators.allow import is_globally_allowed, is_rule_allowed
 from keysift.rules.pack import RulePack
+from keysift.sources.staging import Staging
 
 FINDING_COLUMNS = ("rule_id", "description", "match", "file", "line", "column", "severity", "tags",
                    "entropy", "fingerprint", "verified", "account", "message", "commit", "context", "raw")
@@ -108,9 +109,23 @@ def file_summary(findings: DataFrame) -> DataFrame:
         F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 
 
-def findings_by_file(findings: DataFrame) -> DataFrame:
-    """The findings in report order, range-partitioned, so that one hot file may span partitions."""
-    return findings.orderBy(*REPORT_ORDER)
+def findings_by_file(findings: DataFrame, staging: Staging | None = None) -> DataFrame:
+    """The findings with ``place``, their number in report order from 1, and ``rank``, their number within the file.
+
+    They are sorted once over ranges and written to the shared folder; a range's first place is the number of rows in the ranges before it, so a file with very
+    many findings spans ranges and is no task of its own.  Equal places in a file are ordered by the match.
+    """
+    staging = staging or Staging(findings.sparkSession, "ranks")
+    order = (*REPORT_ORDER, "match", "fingerprint")
+    ordered = staging.write(findings.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part, at = F.shiftright("_at", 33), F.col("_at") - F.shiftleft(F.shiftright("_at", 33), 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # one row for each range
+    placed = ordered.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn("place", F.col("_before") + at + 1)
+    starts = placed.groupBy("file").agg(F.min("place").alias("_first"))
+    return (placed.join(starts, "file").withColumn("rank", F.col("place") - F.col("_first") + 1)
+            .select(*findings.columns, "place", "rank"))
 
 
 def report_summary(findings: DataFrame, files_scanned: DataFrame | None = None,

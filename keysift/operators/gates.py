@@ -65,21 +65,29 @@ def is_binary(content: Column) -> Column:
     return (F.octet_length(content) > 0) & (has_nul(content) | is_control_heavy(content))
 
 
+def file_length(files: DataFrame, length: str = "length", content: str = "content") -> Column:
+    """A file's length; where it is not known that of its content, and 0 without either, so that no file is lost for it."""
+    told = F.col(length).cast("bigint")
+    if content not in files.columns:
+        return F.coalesce(told, F.lit(0).cast("bigint"))
+    return F.coalesce(told, F.octet_length(content).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def gate_files(files: DataFrame, path: str = "path", length: str = "length",
                max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Files worth opening; the size test reaches the file reader."""
-    name = F.coalesce(F.col(path), F.lit(""))
-    return files.filter((F.col(length) <= max_bytes) & ~is_inside_git(name) & is_scannable_path(name))
+    """Files worth opening; the size test reaches the file reader.  A file of unknown length is judged by its content (see ``file_length``)."""
+    name = slashes(F.coalesce(F.col(path), F.lit("")))
+    return files.filter((file_length(files, length) <= max_bytes) & ~is_inside_git(name) & is_scannable_path(name))
 
 
 def gate_paths(files: DataFrame, pack: RulePack, path: str = "path") -> DataFrame:
     """Files whose path no allowlist names; one without a path is kept."""
-    return files.filter(~F.coalesce(is_allowed_path(F.col(path), pack), F.lit(False)))
+    return files.filter(~F.coalesce(is_allowed_path(slashes(F.col(path)), pack), F.lit(False)))
 
 
 def gate_image_files(files: DataFrame, path: str = "path", length: str = "length",
                      max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
-    return files.filter((F.col(length) <= max_bytes) & ~F.coalesce(is_skipped_in_image(F.col(path)), F.lit(False)))
+    return files.filter((file_length(files, length) <= max_bytes) & ~F.coalesce(is_skipped_in_image(F.col(path)), F.lit(False)))
 
 
 def gate_changed_files(files: DataFrame, path: str = "path") -> DataFrame:

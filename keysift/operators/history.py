@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from keysift.operators.allow import drop_allowed_commits, is_allowed_path
 from keysift.operators.detect import candidate_masks, rule_matches
 from keysift.operators.findings import as_findings, gate_matches
 from keysift.rules.pack import RulePack
+from keysift.sources.published import Published
+from keysift.sources.staging import materialized
 
 SALTS = 32
 
@@ -52,6 +57,43 @@ def scan_history(commit_files: DataFrame, pack: RulePack, digest: str | None = N
     return as_findings(placed, "file", commit="commit")
 
 
+def pack_version(pack: RulePack, **detect) -> str:
+    """A digest of everything that a match depends on but the text."""
+    told = json.dumps([[repr(r) for r in pack.rules], repr(pack), sorted((k, repr(v)) for k, v in detect.items())])
+    return hashlib.sha256(told.encode()).hexdigest()[:32]
+
+
+def scan_history_incremental(commit_files: DataFrame, pack: RulePack, memo: str, digest: str | None = None, **detect) -> DataFrame:
+    """``scan_history`` that remembers, in the shared folder ``memo``, the matches of every content it has seen.
+
+    A run matches only contents whose digest no earlier run has seen under the same rules, and publishes their matches and digests, those without a
+    match too, in one step; if two runs publish at once, one raises ``Conflict`` and may be repeated.  Findings of all given commits are returned,
+    known contents being given back from the memo by the salted join.
+    """
+    spark = commit_files.sparkSession
+    named = commit_files.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("commit", "file")})
+    wanted = drop_allowed_commits(named, pack).filter(~is_allowed_path(F.col("file"), pack))
+    identity = F.col(digest) if digest else F.sha2("content", 256)
+    places = materialized(wanted.select("commit", "file", identity.alias("digest")))
+    kept = Published(spark, f"{memo.rstrip('/')}/{pack_version(pack, **detect)}")
+    version = kept.version()
+    before = kept.parts(version)
+    seen = kept.read("seen", version)
+    unseen = places.select("digest").filter("digest IS NOT NULL").distinct()
+    unseen = materialized(unseen if seen is None else unseen.join(seen, "digest", "left_anti"))
+    if not unseen.isEmpty():
+        texts = wanted.select("content", identity.alias("digest")).join(unseen, "digest", "left_semi")
+        rules = pack.compiled(detect.get("keyless", "never"))
+        contents = candidate_masks(texts, "content", rules).groupBy("digest").agg(F.first("content").alias("content"))
+        matches = gate_matches(rule_matches(contents, pack, "content", **detect), pack)
+        new = {"seen": kept.write(unseen), "matches": kept.write(matches)}
+        version = kept.publish({k: [*before.get(k, []), v] for k, v in new.items()}, version)
+    known = kept.read("matches", version)
+    if known is None:  # nothing was ever seen
+        return scan_history(commit_files.limit(0), pack, digest, **detect)
+    return as_findings(salted_join(places, known, "digest", ["commit", "file"]), "file", commit="commit")
+
+
 def commits_scanned(commit_files: DataFrame) -> DataFrame:
     return commit_files.agg(F.countDistinct("commit").alias("commits_scanned"))
 
@@ -61,5 +103,19 @@ def only_changed(files: DataFrame, changed: DataFrame, path: str = "path") -> Da
     return files.join(changed.select(path).distinct(), path, "left_semi")
 
 
-__all__ = ["commit_range", "commits_scanned", "only_changed", "salted_join",
-           "scan_history"]
+def drop_listed_commits(commits: DataFrame, listed: DataFrame, commit: str = "commit", prefix: str = "prefix") -> DataFrame:
+    """Commits that no prefix in the table ``listed`` begins, for lists too large to be literals of a plan.
+
+    One equi-join for each length of a prefix that occurs; an empty prefix names no commit, and a commit without a hash is kept.
+    """
+    prefixes = materialized(listed.select(F.col(prefix).alias("prefix")).filter("prefix <> ''").distinct())
+    lengths = [r[0] for r in prefixes.select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()]  # no longer than a hash
+    kept = commits
+    for n in lengths:
+        of_length = prefixes.filter(F.length("prefix") == n).select(F.col("prefix").alias("_prefix"))
+        kept = (kept.withColumn("_prefix", F.left(F.col(commit), F.lit(n))).join(of_length, "_prefix", "left_anti").drop("_prefix"))
+    return kept
+
+
+__all__ = ["commit_range", "commits_scanned", "drop_listed_commits", "only_changed", "pack_version", "salted_join",
+           "scan_history", "scan_history_incremental"]

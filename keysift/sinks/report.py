@@ -7,10 +7,11 @@ a closing line.  No finding ever passes through the driver or through one collec
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keysift.functions.text import clip_match, fingerprint_short, truncate
 from keysift.operators.findings import REPORT_ORDER, redacted, report_summary
+from keysift.operators.gates import slashes
 from keysift.sources.staging import materialized
 
 VERSION = "0.1.0"
@@ -107,7 +108,7 @@ def sarif_results(findings: DataFrame, redact: bool = False) -> DataFrame:
         F.concat("description", F.lit(": "), "match").alias("message"),
         truncate(F.col("match"), SNIPPET_LIMIT).alias("snippet"), "fingerprint")
     place = F.struct(
-        F.struct(F.col("file").alias("uri")).alias("artifactLocation"),
+        F.struct(slashes(F.col("file")).alias("uri")).alias("artifactLocation"),
         F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"),
                  _text("snippet").alias("snippet")).alias("region"))
     return rows.withColumn("result", F.to_json(F.struct(
@@ -134,15 +135,46 @@ def report_metrics(findings: DataFrame, files_scanned: DataFrame | None = None,
 def _document(opening: DataFrame, items: DataFrame, closing: DataFrame) -> DataFrame:
     """Lines of a document whose middle is a JSON array, in partition order.
 
-    ``items`` has the report order columns and ``item``.  Sorting range-partitions it, and the
-    first row of the first partition is the one element without a comma before it.
+    ``items`` has the report order columns and ``item``.  Sorting range-partitions it; the first row of the first range that has rows
+    is the one element without a comma before it.
     """
-    ordered = items.orderBy(*REPORT_ORDER).withColumn("_at", F.monotonically_increasing_id())
-    lines = ordered.select(F.when(F.col("_at") == 0, F.col("item"))
-                           .otherwise(F.concat(F.lit(","), "item")).alias("value"))
+    ordered = materialized(items.orderBy(*REPORT_ORDER).withColumn("_at", F.monotonically_increasing_id()))
+    first = ordered.agg(F.min("_at")).first()[0]
+    lines = ordered.orderBy("_at").select(F.when(F.col("_at") == F.lit(first), F.col("item"))
+                                          .otherwise(F.concat(F.lit(","), "item")).alias("value"))
     return opening.union(lines).union(closing)
 
 
+class Malformed(ValueError):
+    """Part files that do not make up one document."""
+
+
+def document_items(spark: SparkSession, path: str) -> DataFrame:
+    """(place, item) of the array in the document that the part files at ``path`` make up, without putting it together.
+
+    The files are read in order of name, each in order of its lines.  A document has its opening line first and its closing line last, every line
+    between them is one element, and all but the first element follow a comma; anything else raises ``Malformed``.
+    """
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                                  F.monotonically_increasing_id().alias("line")).alias("place"), "value")
+    stored = materialized(lines)
+    first, last = stored.agg(F.min("place"), F.max("place")).first()
+    if first is None:
+        raise Malformed(f"{path} has no lines")
+    ends = [F.struct(*[F.lit(x).alias(n) for n, x in zip(("file", "block", "line"), end)]) for end in (first, last)]
+    opening, closing = (stored.filter(F.col("place") == end).first()["value"] for end in ends)
+    inner = stored.filter((F.col("place") != ends[0]) & (F.col("place") != ends[1]))
+    bare, top = inner.agg(F.count_if(~F.col("value").startswith(",")), F.min_by("value", "place")).first()
+    if not (opening.endswith("[") and closing.startswith("]")) or bare > 1 or bare and top.startswith(",") or not bare and top is not None:
+        raise Malformed(f"the part files at {path} are no document")
+    return inner.select("place", F.regexp_replace("value", "^,", "").alias("item"))
+
+
+def parsed_items(items: DataFrame, schema: str) -> DataFrame:
+    """The elements by ``schema``; one that is no JSON object raises when it is read."""
+    return items.select(F.from_json("item", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+
+
 def write_sarif(findings: DataFrame, path: str, redact: bool = False) -> None:
     """A SARIF log as ordered part files; ``cat path/part-*`` is the document."""
     stored = materialized(findings)

@@ -6,8 +6,8 @@ from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from keysift.operators.gates import (MAX_FILE_BYTES, MIB, gate_files, gate_paths, is_binary, is_inside_git, is_scannable_path,
-                                     readable_text)
+from keysift.operators.gates import (MAX_FILE_BYTES, MAX_IMAGE_BYTES, MIB, file_length, gate_files, gate_paths, is_binary, is_inside_git,
+                                     is_scannable_path, is_skipped_in_image, readable_text, slashes)
 from keysift.operators.allow import is_allowed_path
 from keysift.rules.pack import RulePack
 from keysift.sources.staging import materialized
@@ -106,10 +106,10 @@ def _contents(uri: str):
     return reads
 
 
-def skip_reason(max_bytes: int = MAX_FILE_BYTES, pack: RulePack | None = None) -> Column:
+def skip_reason(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, pack: RulePack | None = None) -> Column:
     """Why the gates leave a file out; null for files that are scanned."""
-    name = F.col("path")
-    reason = (F.when(F.col("length") > max_bytes, "size").when(is_inside_git(name), "git folder")
+    name = slashes(F.coalesce(F.col("path"), F.lit("")))
+    reason = (F.when(file_length(files) > max_bytes, "size").when(is_inside_git(name), "git folder")
               .when(~is_scannable_path(name), "extension"))
     if pack is not None:
         reason = reason.when(is_allowed_path(name, pack), "path allowlist")
@@ -120,7 +120,14 @@ def skip_reason(max_bytes: int = MAX_FILE_BYTES, pack: RulePack | None = None) -
 def skipped_files(files: DataFrame, pack: RulePack | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, length, reason) of every file that a scan leaves out; without ``content`` the test for binary files is left out too."""
     seen = files if "content" in files.columns else files.withColumn("content", F.lit(None).cast("binary"))
-    return seen.select("path", "length", skip_reason(max_bytes, pack).alias("reason")).filter(F.col("reason").isNotNull())
+    return seen.select("path", "length", skip_reason(seen, max_bytes, pack).alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def skipped_image_files(files: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
+    """(path, length, reason) of every file that the scan of an extracted image leaves out."""
+    reason = (F.when(file_length(files) > max_bytes, "size")
+              .when(F.coalesce(is_skipped_in_image(F.col("path")), F.lit(False)), "extension"))
+    return files.select("path", "length", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def files_as_text(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
