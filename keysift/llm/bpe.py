@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
-from keysift.llm.words import carried, slices
+from keysift.llm.words import carried, column_bytes, slices
 
 KEPT = 100_000
 SHORT = 48
@@ -84,6 +84,8 @@ class Codec:
         self.library = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True,
                                             cache_capacity=0))
         self.bytes = {r: t for t, r in ranks.items()}
+        self.sizes = np.zeros(max(self.bytes) + 1, np.int64)
+        self.sizes[list(self.bytes)] = [len(t) for t in self.bytes.values()]
         self.shown = str.maketrans({chr(b): c for b, c in enumerate(shown)})
         self.cut = compiled(pattern).findall
         self.kept: dict[str, tuple[int, ...]] = {}
@@ -104,13 +106,14 @@ class Codec:
         table = self.kept if all(len(k) <= SHORT for k in fresh) else {**self.kept, **fresh}
         return [list(chain.from_iterable(map(table.__getitem__, x))) for x in parts]
 
-    def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """First character, and the character after the last, of each token."""
-        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        of_byte = np.cumsum(raw & 0xC0 != 0x80) - 1
-        ends = np.cumsum([len(self.bytes[i]) for i in ids], dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        return of_byte[starts], of_byte[ends - 1] + 1
+    def offsets(self, column: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First character, and the character after the last, of each token of some texts; ``flat`` are their ids, ``sizes`` the ids of each."""
+        raw, edges = column_bytes(column)
+        character = np.cumsum(raw & 0xC0 != 0x80)  # of all characters, the number up to each byte
+        first = np.repeat(edges[:-1], sizes)
+        before = np.where(first > 0, character[first - 1] if len(raw) else 0, 0)
+        ends = np.cumsum(self.sizes[flat])  # tokens cover every byte, text after text
+        return character[ends - self.sizes[flat]] - 1 - before, character[ends - 1] - before
 
     def decode(self, ids: list[int]) -> bytes:
         try:
@@ -150,10 +153,11 @@ def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
         for batch in slices(batches, texts_of):
             texts = pc.fill_null(texts_of(batch), "").to_pylist()
             ids = by.encode(texts)
-            columns = [batch.column("row"), _lists(ids, pa.int32())]
+            lists = _lists(ids, pa.int32())
+            columns = [batch.column("row"), lists]
             if offsets:
-                places = [by.offsets(t, i) if i else ((), ()) for t, i in zip(texts, ids)]
-                columns += [_lists([p[k] for p in places], pa.int32()) for k in (0, 1)]
+                places = by.offsets(texts_of(batch), lists.values.to_numpy(), np.diff(lists.offsets.to_numpy()))
+                columns += [pa.ListArray.from_arrays(lists.offsets, pa.array(x, pa.int32())) for x in places]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return out.mapInArrow(run, T.StructType([out.schema["row"], *MORE, *(OFFSETS if offsets else [])]))

@@ -84,10 +84,13 @@ def op6_secret_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(_table(spark, folder, "documents"), keep=["doc_id"]))
-    return coded.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-                        F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
+    def joined(name):
+        return F.sha2(F.array_join(F.col(name).cast("array<string>"), " ").cast("binary"), 256)
+
+    coded = bpe.decode(bpe.encode(_table(spark, folder, "documents"), keep=["doc_id"], offsets=True))
+    return coded.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"), joined("ids").alias("ids_sha256"),
+                        F.sha2("decoded_bytes", 256).alias("decoded_sha256"),
+                        F.xxhash64("starts", "ends").alias("offsets_hash"))
 
 
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:

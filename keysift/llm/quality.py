@@ -31,7 +31,7 @@ from keysift.sources.staging import Staging
 BUCKETS = 1 << 18
 SAMPLE = 10_000
 FEATURES = 20_000_000
-SENT = 2_000_000
+SENT = 1_000_000
 EPOCHS = 12
 COST = 1.0
 ALPHA = 1.0
