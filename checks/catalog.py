@@ -15,7 +15,7 @@ from keysift.plans import (after_scan, archive_errors, archive_metrics, files_sc
                            scan_archives_distinct, scan_composite, scan_files, scan_image_files, scan_roots, scan_table)
 from keysift.rules import builtin_pack, pack_from_dict, rejected_rules_frame, rules_frame
 from keysift.sinks import report
-from keysift.sources import (files_as_text, layer_manifest, materialized, read_files, shared_folder,
+from keysift.sources import (files_as_text, layer_manifest, materialized, materialized_together, read_files, shared_folder,
                              skipped_files)
 from keysift.streaming import report_once, suppress_known, window_counts, write_stream
 
@@ -135,7 +135,7 @@ def q_scan_changed(spark, folder):
 
 def _changes(spark, folder) -> DataFrame:
     old, new = (merkle.tree(merkle.file_digests(cp.snapshot(spark, folder, step))) for step in (2, 3))
-    return merkle.changed_paths(materialized(old), materialized(new))
+    return merkle.changed_paths(*materialized_together(old, new))
 
 
 def q_changed_files(spark, folder):
@@ -472,6 +472,12 @@ def q_dedup(spark, folder):
     return twice.select("rule_id", "file", _long("line"), _long("column"), "fingerprint")
 
 
+def q_dedup_late(spark, folder):
+    """Each document scanned twice under the same path, the findings with their contexts."""
+    docs = _docs(spark, folder)
+    return _plain(fnd.dedup_late(scan_table(docs.unionByName(docs))))
+
+
 def q_severity_counts(spark, folder):
     return fnd.severity_counts(_found(spark, folder))
 
@@ -766,7 +772,7 @@ def _stamped(counts: DataFrame) -> DataFrame:
 def q_after_scan(spark, folder):
     """Severity, baseline and verification in the order of a run."""
     old, new = _old_new(spark, folder)
-    new = materialized(new)
+    old, new = materialized_together(old, new)
     left = after_scan(new, ["critical", "high"], old, cp.responses(new))
     return left.select("rule_id", "fingerprint", "severity", "verified", "account", "verification_status")
 

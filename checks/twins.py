@@ -497,6 +497,7 @@ def twins() -> dict[str, str]:
         "verifiable": on_findings(f"""SELECT rule_id, count(*) AS findings, {VERIFIABLE} AS verifiable
             FROM findings GROUP BY rule_id"""),
         "dedup": on_findings('SELECT DISTINCT rule_id, file, line, "column", fingerprint FROM findings'),
+        "dedup_late": on_findings(distinct),
         "severity_counts": on_findings("SELECT severity, count(*) AS findings FROM findings GROUP BY severity"),
         "file_summary": on_findings("SELECT file, count(*) AS findings, " + ", ".join(
             f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low"))

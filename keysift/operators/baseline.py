@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysift.functions.text import stable_fingerprint
 from keysift.sources.published import Published
-from keysift.sources.staging import materialized
+from keysift.sources.staging import materialized_together
 
 SALTS = 16
 BASELINE_VERSION = "1.0"
@@ -120,8 +120,7 @@ def compare_with_baseline(findings: DataFrame, baseline: DataFrame | None,
     if baseline is None:
         return findings.withColumn("status", F.lit("new"))
     first = F.min(F.struct("line", "severity", "match", "rule_id", "fingerprint", "file")).alias("_row")
-    findings = materialized(findings)
-    once = materialized(_keyed(baseline, key).groupBy(F.col(key).alias("_key")).agg(first))
+    findings, once = materialized_together(findings, _keyed(baseline, key).groupBy(F.col(key).alias("_key")).agg(first))
     keyed = _keyed(findings, key)
     salted = once.select(F.col("_key").alias(key), F.lit(True).alias("_seen"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     spread = F.pmod(F.xxhash64(*[c for c in findings.columns if not c.startswith("_")], F.monotonically_increasing_id()),

@@ -16,6 +16,7 @@ FINDING_COLUMNS = ("rule_id", "description", "match", "file", "line", "column",
                    "entropy", "fingerprint", "verified", "account", "message", "commit", "context", "raw")
 RULE_METADATA = ("array<struct<rule_id: string, description: string, severity: string, tags: array<string>, "
                  "threshold: double, validate: string>>")
+DROPPED = 1_000_000
 REPORT_ORDER = ("file", "line", "column", "rule_id")
 
 
@@ -82,6 +83,22 @@ def dedup(findings: DataFrame) -> DataFrame:
     return findings.dropDuplicates(["fingerprint"])
 
 
+def dedup_late(findings: DataFrame, staging: Staging | None = None) -> DataFrame:
+    """``dedup`` for findings with long contexts: only (fingerprint, address) is exchanged, the wide rows stay where they were written.
+
+    The rows are written once to the shared folder, each with an address; of equal fingerprints the first address stays.  If a count proves the others to be at
+    most ``DROPPED``, they are broadcast and taken out where they lie; more are taken out by a join on the address.
+    """
+    staging = staging or Staging(findings.sparkSession, "dedup")
+    stored = staging.write(findings.withColumn("_address", F.monotonically_increasing_id()), "rows")
+    firsts = stored.groupBy("fingerprint").agg(F.min("_address").alias("_address"), F.count("*").alias("_n"))
+    repeated = staging.write(firsts.filter("_n > 1"), "repeated")  # one row for each fingerprint that repeats
+    some = stored.select("fingerprint", "_address").join(repeated.select("fingerprint", F.col("_address").alias("_first")), "fingerprint")
+    dropped = staging.write(some.filter(F.col("_address") > F.col("_first")).select("_address"), "dropped")
+    few = dropped.count() <= DROPPED  # the size is checked
+    return stored.join(F.broadcast(dropped) if few else dropped.hint("merge"), "_address", "left_anti").drop("_address")
+
+
 def filter_severity(findings: DataFrame, severities: list[str]) -> DataFrame:
     """No severities means no filter."""
     if not severities:

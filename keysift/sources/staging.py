@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +55,10 @@ class Staging:
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back."""
     return Staging(df.sparkSession, "stage").write(df, "rows")
+
+
+def materialized_together(*frames: DataFrame) -> list[DataFrame]:
+    """``materialized`` for several frames at once: their jobs run side by side, so none waits for another's last tasks."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(df.sparkSession)(materialized), df) for df in frames]
+        return [x.result() for x in waiting]

@@ -107,3 +107,25 @@ def test_other_separators(spark, tmp_path):
     assert place["artifactLocation"]["uri"] == "src/b.env"
     inside = spark.createDataFrame([("src\\.git\\config", 3, bytearray(b"abc"))], "path string, length long, content binary")
     assert gate_files(inside).count() == 0 and skipped_files(inside).first()["reason"] == "git folder"
+
+
+def test_late_dedup_moves_no_contexts(spark, monkeypatch):
+    from keysift.operators import findings as fnd
+    texts = [("a", f"k={TOKEN}A\nsecond"), ("b", f"k={TOKEN}B"), ("a", f"k={TOKEN}A\nother context"), ("a", f"k={TOKEN}A\nsecond")]
+    found = findings(spark, *texts)
+    want = sorted(r["fingerprint"] for r in fnd.dedup(found).collect())
+    for most in (fnd.DROPPED, 0):
+        monkeypatch.setattr(fnd, "DROPPED", most)
+        late = fnd.dedup_late(found)
+        assert sorted(r["fingerprint"] for r in late.collect()) == want and late.columns == found.columns
+        plan = late._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert ("Exchange hashpartitioning" not in plan) == (most > 0)
+        contexts = {r["file"]: tuple(r["context"]) for r in late.collect()}
+        assert contexts["a"] in {("k=" + TOKEN + "A", "second"), ("k=" + TOKEN + "A", "other context")}
+    assert fnd.dedup_late(found.limit(0)).count() == 0
+
+
+def test_frames_written_side_by_side(spark):
+    from keysift.sources import materialized_together
+    one, two = materialized_together(spark.range(5), spark.range(7).toDF("x"))
+    assert (one.count(), two.count(), two.columns) == (5, 7, ["x"])
