@@ -12,6 +12,7 @@ lambda may be inlined there and run per element; ``let`` binds it first.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,6 +27,8 @@ KEYWORD_PARTS = ("://", "cret", "wd", "key", "_", "-")
 # Characters from frequent to rare in prose and source text; all others count as rarer.
 COMMON_FIRST = " etaoinsrhldcumfpgwybvk.,-_xjqz"
 RULES_PER_MASK = 60
+KEYWORDS = "array<struct<ending:string,word:string,masks:array<bigint>>>"
+KEYWORD_GROUPS = f"array<struct<part:string,words:{KEYWORDS}>>"
 BLOCK = 128
 
 
@@ -44,33 +47,38 @@ def _rare_ending(keyword: str) -> str:
     return keyword[start:]
 
 
+def _keyword_groups(rules: list[CompiledRule]) -> list[dict]:
+    """The keywords by their common part, each with the masks of the rules that it makes candidates."""
+    masks: dict[str, list[int]] = {}
+    for place, rule in enumerate(rules):
+        for keyword in _needed_keywords(rule.keywords):
+            own = masks.setdefault(keyword, [0] * len(_blocks(rules)))
+            own[place // RULES_PER_MASK] |= 1 << place % RULES_PER_MASK
+    parts = [p for p in KEYWORD_PARTS if sum(p in k for k in masks) > 1]
+    groups: dict[str, list[dict]] = {}
+    for keyword, own in masks.items():
+        part = next((p for p in parts if p in keyword), "")
+        groups.setdefault(part, []).append({"ending": _rare_ending(keyword), "word": keyword, "masks": own})
+    return [{"part": p, "words": w} for p, w in groups.items()]
+
+
 def candidate_masks(df: DataFrame, text: str, rules: list[CompiledRule]) -> DataFrame:
     """Add ``masks``: bit i of entry b is set when rule b*60+i is a candidate for the text.
 
-    Rows without any candidate leave here.
+    The keywords are one folded literal that a single expression walks, group by group: however many rules there are, the generated method stays
+    small enough to be compiled.  Rows without any candidate leave here.
     """
-    wanted = {k for rule in rules for k in _needed_keywords(rule.keywords)}
-    parts = [p for p in KEYWORD_PARTS if sum(p in k for k in wanted) > 1]
     kept = [F.col(c) for c in df.columns]
     lowered = df.select(*kept, F.lower(text).alias("_low"))
-    flagged = lowered.select(*kept, "_low", *[F.col("_low").contains(p).alias(f"_part{i}")
-                                             for i, p in enumerate(parts)])
-
-    def present(keyword: str) -> str:
-        search = " AND ".join(f"contains(_low, {sql_string(k)})"
-                              for k in dict.fromkeys((_rare_ending(keyword), keyword)))
-        part = next((i for i, p in enumerate(parts) if p in keyword), None)
-        if part is None:
-            return f"({search})"
-        return f"_part{part}" if parts[part] == keyword else f"(_part{part} AND {search})"
-
-    def bit(place: int, rule: CompiledRule) -> str:
-        keywords = " OR ".join(present(k) for k in _needed_keywords(rule.keywords))
-        return f"CASE WHEN {keywords or 'true'} THEN {1 << place}L ELSE 0L END"
-
-    masks = [F.expr(" + ".join(bit(i, rule) for i, rule in enumerate(block))) for block in _blocks(rules)]
-    once = flagged.select(*kept, F.explode(F.array(F.array(*masks))).alias("masks"))
-    return once.filter(reduce(lambda a, b: a | b, [F.col("masks")[b] != 0 for b in range(len(masks))]))
+    groups = F.from_json(F.lit(json.dumps(_keyword_groups(rules))), KEYWORD_GROUPS)
+    low = F.col("_low")
+    held = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(low, g["part"])), lambda g: F.filter(
+        g["words"], lambda w: F.contains(low, w["ending"]) & F.contains(low, w["word"]))))
+    always = [sum(1 << i for i, rule in enumerate(block) if not _needed_keywords(rule.keywords)) for block in _blocks(rules)]
+    masks = F.aggregate(F.coalesce(held, F.array().cast(KEYWORDS)), F.array(*[F.lit(x).cast("bigint") for x in always]),
+                        lambda done, w: F.zip_with(done, w["masks"], lambda a, b: a.bitwiseOR(b)))
+    once = lowered.select(*kept, F.explode(F.array(masks)).alias("masks"))
+    return once.filter(reduce(lambda a, b: a | b, [F.col("masks")[b] != 0 for b in range(len(_blocks(rules)))]))
 
 
 def _blocks(rules: list[CompiledRule]) -> list[list[CompiledRule]]:

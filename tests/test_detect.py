@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from keysift.operators.detect import BLOCK, RULES_PER_MASK, candidate_rules, rule_matches
+from keysift.operators.detect import BLOCK, RULES_PER_MASK, candidate_masks, candidate_rules, rule_matches
 from keysift.operators.findings import dedup
 from keysift.plans import scan_composite, scan_table
 from keysift.rules import builtin_pack, pack_from_dict, translate
@@ -167,3 +167,22 @@ def test_endings():
     assert {p: translate(p).ending for p in want} == want
     assert {r.rule.id for r in builtin_pack().compiled() if r.ending} == {
         "azure-storage-key", "generic-private-key", "database-connection"}
+
+
+def test_the_gate_stays_small_and_equals_a_plain_search(spark, capsys):
+    """No generated method is too large for the compiler, with two hundred rules as with one; masks are those of a plain search."""
+    random.seed(3)
+    words = ["".join(random.choices("abkey_-:/wd", k=random.randrange(2, 7))) for _ in range(400)]
+    for n in (1, 61, 200):
+        pack = pack_from_dict({"rules": [{"id": f"r{i}", "regex": "x[0-9]+", "keywords": random.sample(words, random.randrange(0, 4))} for i in range(n)]})
+        rules = pack.compiled("always")
+        texts = [(i, " ".join(random.choices(words, k=random.randrange(0, 12))).upper()) for i in range(60)] + [(60, None), (61, "")]
+        frame = spark.createDataFrame(texts, "i int, content string")
+        masks = candidate_masks(frame, "content", rules)
+        got = {r["i"]: [k for k in range(len(rules)) if r["masks"][k // RULES_PER_MASK] >> k % RULES_PER_MASK & 1] for r in masks.collect()}
+        want = {i: [k for k, r in enumerate(rules) if not r.keywords or any(w in t.lower() for w in r.keywords)] if t is not None
+                else [k for k, r in enumerate(rules) if not r.keywords] for i, t in texts}
+        assert got == {i: hits for i, hits in want.items() if hits}
+        masks.explain("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert all(x < 8000 for x in sizes)
