@@ -84,6 +84,7 @@ class Codec:
         self.library = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True,
                                             cache_capacity=0))
         self.bytes = {r: t for t, r in ranks.items()}
+        self.table = pa.array([self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)], pa.binary())
         self.sizes = np.zeros(max(self.bytes) + 1, np.int64)
         self.sizes[list(self.bytes)] = [len(t) for t in self.bytes.values()]
         self.shown = str.maketrans({chr(b): c for b, c in enumerate(shown)})
@@ -115,6 +116,13 @@ class Codec:
         ends = np.cumsum(self.sizes[flat])  # tokens cover every byte, text after text
         return character[ends - self.sizes[flat]] - 1 - before, character[ends - 1] - before
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of several texts from their ids, all of which must be of the vocabulary: tokens looked up one after the other, cut where texts end."""
+        tokens = self.table.take(lists.values)
+        ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset:tokens.offset + len(tokens) + 1] if len(tokens) else np.zeros(1, np.int32)
+        cuts = pa.py_buffer(np.ascontiguousarray(ends[lists.offsets.to_numpy()]))
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, cuts, tokens.buffers()[2] or pa.py_buffer(b"")])
+
     def decode(self, ids: list[int]) -> bytes:
         try:
             return b"".join(map(self.bytes.__getitem__, ids))
@@ -140,13 +148,14 @@ def _lists(values: list, kind: pa.DataType) -> pa.Array:
 
 
 def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, file: str | None = None,
-           pattern: str | None = None, offsets: bool = False) -> DataFrame:
+           pattern: str | None = None, offsets: bool = False, decoded: bool = False) -> DataFrame:
     """(row, ids): the row as a struct (of the columns ``keep``, or all) and the ids of its text, with
-    ``starts`` and ``ends`` of the tokens in characters where ``offsets`` are asked for.  ``file`` must be readable on all executors."""
+    ``starts`` and ``ends`` of the tokens in characters where ``offsets`` are asked for, and ``decoded_bytes``, what ``decode`` makes of the
+    ids, where ``decoded`` is: a round trip in one pass, with one worker for each task.  ``file`` must be readable on all executors."""
     where, rule = public_ranks()
     where, rule = file or where, pattern or rule
     out, texts_of = carried(docs, text_col, keep)
-    names = ["row", "ids", *(["starts", "ends"] if offsets else [])]
+    names = ["row", "ids", *(["starts", "ends"] if offsets else []), *(["decoded_bytes"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = codec(where, rule)
@@ -158,9 +167,12 @@ def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
             if offsets:
                 places = by.offsets(texts_of(batch), lists.values.to_numpy(), np.diff(lists.offsets.to_numpy()))
                 columns += [pa.ListArray.from_arrays(lists.offsets, pa.array(x, pa.int32())) for x in places]
+            if decoded:
+                columns.append(by.decode_all(lists))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return out.mapInArrow(run, T.StructType([out.schema["row"], *MORE, *(OFFSETS if offsets else [])]))
+    back = [T.StructField("decoded_bytes", T.BinaryType())] if decoded else []
+    return out.mapInArrow(run, T.StructType([out.schema["row"], *MORE, *(OFFSETS if offsets else []), *back]))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", file: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -87,7 +87,7 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     def joined(name):
         return F.sha2(F.array_join(F.col(name).cast("array<string>"), " ").cast("binary"), 256)
 
-    coded = bpe.decode(bpe.encode(_table(spark, folder, "documents"), keep=["doc_id"], offsets=True))
+    coded = bpe.encode(_table(spark, folder, "documents"), keep=["doc_id"], offsets=True, decoded=True)
     return coded.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"), joined("ids").alias("ids_sha256"),
                         F.sha2("decoded_bytes", 256).alias("decoded_sha256"),
                         F.xxhash64("starts", "ends").alias("offsets_hash"))
