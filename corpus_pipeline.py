@@ -2,6 +2,11 @@
 
 Language identification, exact deduplication, near deduplication, benchmark decontamination, encoding.  Every stage
 works on all that the one before it kept.  The first four return the columns of ``documents``; the last adds the token ids.
+
+*Defined results.*  A null or empty text, or one without a letter, has no language and goes in the first stage.  Of equal texts the row with the largest doc_id
+stays (null ids last), of a group of near copies the one with the smallest; rows equal in id and text are one after the second stage.  Very long texts are
+processed whole.  A null id is kept like any other.  Further columns of ``documents``, whatever their names, come through all stages; ``ids``, ``n_tokens`` and
+``lossless`` are replaced by the last.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Columns of these names that a document already has are replaced.
     """
-    coded = bpe.decode(bpe.encode(docs))
+    coded = bpe.encode(docs, decoded=True)
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("ids", "n_tokens", "lossless")]
     same = F.col("decoded_bytes") == F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary")
     return coded.select(*kept, "ids", F.size("ids").cast("bigint").alias("n_tokens"), same.alias("lossless"))
@@ -50,7 +55,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated),
           ("encoding", encoded)]
-#: Neither the language model nor fingerprints can be expressed in SQL; the tests compare with brute force.
+#: Neither the language model nor fingerprints can be expressed in SQL; tests/llm/test_queries.py holds all five stages against brute force.
 ORACLE_SQL = None
 
 
