@@ -33,7 +33,7 @@ INSIDE = 2000
 SALTS = 16
 BLOCK, ALLOW = "=block", "=allow"
 RULES = "token string, rule_tokens array<string>, verdict string, gain double, confidence double, support bigint"
-LISTED = (("allow", "org/"), ("block", "example.org/es/"), ("allow", "example.org/en/1"),
+LISTED = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
           ("allow", "com/fr/"), ("block", "com/de/"))
 
 

@@ -260,7 +260,7 @@ def test_token_counts(spark, tmp_path, block):
 def test_hosts_paths_and_listed_rules(spark):
     cases = {None: ("", "", None), "": ("", "", None), "mailto:x": ("", "", None), "http://A.B.ORG": ("a.b.org", "", None),
              "http://Org/x://y?z": ("org", "/x://y", "allow"), "http://example.org/es/1#a?b": ("example.org", "/es/1", "block"),
-             "s://m.example.org/en/12": ("m.example.org", "/en/12", "allow"), "s://x.com/de/": ("x.com", "/de/", "block"),
+             "s://m.example.org/en/12": ("m.example.org", "/en/12", "block"), "s://x.com/de/": ("x.com", "/de/", "block"),
              "s://xcom/de/": ("xcom", "/de/", None), "s://notexample.org/es/": ("notexample.org", "/es/", "allow"),
              "s://a.com?x=/de/": ("a.com", "", None), "s://Ä.com/fr/é": ("Ä.com", "/fr/é", "allow")}
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(cases)], "page_id long, url string, verdict int")
