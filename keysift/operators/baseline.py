@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysift.functions.text import stable_fingerprint
+from keysift.operators.history import salted_join
 from keysift.sources.published import Published
 from keysift.sources.staging import materialized_together
 
@@ -114,7 +115,7 @@ def compare_with_baseline(findings: DataFrame, baseline: DataFrame | None,
     """The findings with ``status`` new or existing, and the baseline's vanished ones as resolved, once per key.
 
     Repeated current findings all stay.  One key may stand for a large share of them (one file of a base image in very many images),
-    so the known keys go out once per salt and findings are spread by all their columns; nothing is joined full outer, which could not be split.
+    so the known keys of such go out once per salt and their findings are spread by all their columns; nothing is joined full outer, which could not be split.
     The baseline is read once and written to the shared folder as a row for each key; so are the findings, which are read twice.
     """
     if baseline is None:
@@ -122,10 +123,9 @@ def compare_with_baseline(findings: DataFrame, baseline: DataFrame | None,
     first = F.min(F.struct("line", "severity", "match", "rule_id", "fingerprint", "file")).alias("_row")
     findings, once = materialized_together(findings, _keyed(baseline, key).groupBy(F.col(key).alias("_key")).agg(first))
     keyed = _keyed(findings, key)
-    salted = once.select(F.col("_key").alias(key), F.lit(True).alias("_seen"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    spread = F.pmod(F.xxhash64(*[c for c in findings.columns if not c.startswith("_")], F.monotonically_increasing_id()),
-                    F.lit(SALTS)).cast("int")
-    found = (keyed.withColumn("_salt", spread).join(salted, [key, "_salt"], "left")
+    known = once.select(F.col("_key").alias(key), F.lit(True).alias("_seen"))
+    spread = [*[c for c in findings.columns if not c.startswith("_")], F.monotonically_increasing_id()]
+    found = (salted_join(keyed, known, key, spread, SALTS, "left")
              .select(*findings.columns, F.when(F.col("_seen"), "existing").otherwise("new").alias("status")))
     now = keyed.select(F.col(key).alias("_key")).distinct()
     gone = once.join(now, "_key", "left_anti").select(*[F.col("_row")[c].alias(c) for c in BASELINE_COLUMNS], F.lit("resolved").alias("status"))

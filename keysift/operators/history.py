@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from keysift.operators.allow import drop_allowed_commits, is_allowed_path
 from keysift.operators.detect import candidate_masks, rule_matches
@@ -15,16 +16,33 @@ from keysift.sources.published import Published
 from keysift.sources.staging import materialized
 
 SALTS = 32
+#: A key with more rows than this is dealt into ``SALTS`` parts.
+HOT = 100_000
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, spread: list[str], salts: int = SALTS) -> DataFrame:
-    """Inner join in which one key may hold a large share of ``big``.
+def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], spread: list[str | Column], salts: int = SALTS,
+                how: str = "inner") -> DataFrame:
+    """Join in which one key may hold a large share of ``big``, which is read twice.
 
-    Rows of ``big`` get a salt from the ``spread`` columns, rows of ``small`` go out once per salt.
+    The keys with more than ``HOT`` rows are counted first, no more than ``big`` has rows / ``HOT``.  Only their rows of ``small`` go out once per salt, and
+    only their rows of ``big`` get a salt from the ``spread`` columns; so ``small`` is neither shuffled nor broadcast many times over.  Rows of ``big``
+    with a null key meet nothing and are spread widely.  A stream is not counted.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    keys = [key] if isinstance(key, str) else key
+    unmet = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    wide = F.pmod(F.xxhash64(*spread), F.lit(1 << 30)).cast("int")
+    salt, copies = F.lit(0), F.array(F.lit(0))
+    if not big.isStreaming:
+        counted = big.filter(~unmet).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT)
+        crowded = materialized(counted.select(*keys, F.lit(True).alias("_hot")))
+        if not crowded.isEmpty():
+            big, small = big.join(crowded, keys, "left"), small.join(crowded, keys, "left")
+            salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(salt)
+            copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(copies)
+            small = small.withColumn("_salt", F.explode(copies)).drop("_hot")
+    left = big.withColumn("_salt", F.when(unmet, wide).otherwise(salt)).drop("_hot")
+    right = small if "_salt" in small.columns else small.withColumn("_salt", F.lit(0))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def commit_range(commit_files: DataFrame, after: int | None = None, upto: int | None = None) -> DataFrame:
@@ -40,7 +58,7 @@ def scan_history(commit_files: DataFrame, pack: RulePack, digest: str | None = N
 
     Only contents with a candidate rule are shuffled, one per digest after combining; the second
     exchange carries digests and small match rows.  A content present in very many commits is
-    spread by salt when its matches go back to them.  ``digest`` names a column that already
+    spread by salt when its matches go back to them; the digests are written once to the shared folder.  ``digest`` names a column that already
     identifies the content, such as a blob hash; the places are then found without reading it.
     """
     rules = pack.compiled(detect.get("keyless", "never"))
@@ -52,7 +70,7 @@ def scan_history(commit_files: DataFrame, pack: RulePack, digest: str | None = N
         "content", F.col("digest") if digest else identity.alias("digest"))
     contents = candidates.groupBy("digest").agg(F.first("content").alias("content"))
     matches = gate_matches(rule_matches(contents, pack, "content", **detect), pack)
-    places = wanted.select("commit", "file", identity.alias("digest"))
+    places = materialized(wanted.select("commit", "file", identity.alias("digest")))
     placed = salted_join(places, matches, "digest", ["commit", "file"])
     return as_findings(placed, "file", commit="commit")
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keysift.operators.history import SALTS
+from keysift.operators.history import SALTS, salted_join
+from keysift.sources.staging import materialized
 
 # Which rules can be verified, and by whom.
 VERIFIERS = {
@@ -129,19 +130,14 @@ def verify_findings(findings: DataFrame, responses: DataFrame, status: str = "",
 
     ``responses(rule_id, secret_sha256, http_status, body, transport_error)`` holds the answers.  Of several for one secret the
     latest by ``responded_at`` counts (if there is such a column), then the first in order of status, body and error.  One leaked secret may be behind a large share of the findings, so
-    findings are salted and the answers go out once per salt.  ``status`` keeps, among the
-    verifiable findings with an answer, those with that status.
+    the findings of such a secret are salted and its answer goes out once per salt; the answers to all others go out once.  The findings are read twice and so
+    written once to the shared folder.  ``status`` keeps, among the verifiable findings with an answer, those with that status.
     """
-    answers = (latest_response(responses)
-               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    # What is not verifiable needs no answer; its null secret meets none, and a wide salt spreads it.
-    spread = F.xxhash64("fingerprint", "file", "commit")
-    asked = findings.withColumns({
-        "secret_sha256": F.when(is_verifiable(F.col("rule_id")), F.sha2("raw", 256)),
-        "_salt": F.when(is_verifiable(F.col("rule_id")), F.pmod(spread, F.lit(salts)))
-                  .otherwise(F.pmod(spread, F.lit(1 << 30))).cast("int")})
-    joined = asked.join(answers.withColumn("_answered", F.lit(True)),
-                        ["rule_id", "secret_sha256", "_salt"], "left")
+    # What is not verifiable needs no answer: its null secret meets none.
+    asked = findings.withColumn("secret_sha256", F.when(is_verifiable(F.col("rule_id")), F.sha2("raw", 256)))
+    asked = asked if asked.isStreaming else materialized(asked)
+    answers = latest_response(responses).withColumn("_answered", F.lit(True))
+    joined = salted_join(asked, answers, ["rule_id", "secret_sha256"], ["fingerprint", "file", "commit"], salts, "left")
     result = F.when(F.col("_answered"), classify_response(
         F.col("rule_id"), F.col("raw"), F.col("http_status"), F.col("body"), F.col("transport_error")))
     judged = joined.select(*findings.columns, result.alias("_result"))

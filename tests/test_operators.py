@@ -211,3 +211,39 @@ def test_archive_by_path_only(spark, tmp_path):
         assert {(r.layer is None, r.path, r.error) for r in rows} == {(True, None, None), (False, None, None), (False, "etc/.env", None)}
     missing = expand_archives(spark.createDataFrame([(f"{folder}/none.tar",)], "path string")).collect()
     assert [bool(r.error) for r in missing] == [False, True]
+
+
+def _crowd(spark):
+    """(big, small): one key in most rows, null keys, keys on one side only, small keys that repeat."""
+    big = [("hot" if i % 3 else f"k{i % 20}" if i % 2 else None, f"f{i}") for i in range(200)] + [("lone", "g")] * 2
+    small = [("hot", 1), ("hot", 2), *((f"k{i}", i) for i in range(12)), ("other", 0), (None, 7)]
+    return spark.createDataFrame(big, "key string, file string"), spark.createDataFrame(small, "key string, n int")
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot", [0, 20, 100_000])
+def test_salted_join_equals_plain_join(spark, monkeypatch, how, hot):
+    monkeypatch.setattr(history, "HOT", hot)
+    big, small = _crowd(spark)
+    got = history.salted_join(big, small, "key", ["file"], how=how)
+    assert sorted(map(str, got.select("key", "file", "n").collect())) == sorted(map(str, big.join(small, "key", how).select("key", "file", "n").collect()))
+
+
+def test_only_crowded_keys_go_out_many_times(spark, monkeypatch):
+    """The side that is given out may be broadcast, so it must not grow by the number of salts."""
+    monkeypatch.setattr(history, "HOT", 100)
+    big, small = _crowd(spark)
+    seen = []
+    monkeypatch.setattr(type(small), "join", lambda left, right, *a, f=type(small).join: seen.append(right) or f(left, right, *a))
+    history.salted_join(big, small, "key", ["file"])
+    assert seen[-1].groupBy("key").count().filter("count > 1").collect() == [("hot", 2 * history.SALTS)]
+
+
+def test_answers_go_out_once_each(spark, monkeypatch):
+    found = finding_rows(spark, [(f"f{i}", "high", f"f{i}") for i in range(30)]).withColumns({"rule_id": F.lit("github-pat"), "raw": F.col("file")})
+    answers = found.select("rule_id", F.sha2("raw", 256).alias("secret_sha256"), F.lit(200).alias("http_status"), F.lit("").alias("body"),
+                           F.lit(None).cast("string").alias("transport_error"))
+    sizes = []
+    monkeypatch.setattr(type(found), "join", lambda left, right, *a, f=type(found).join: sizes.append(right.count()) or f(left, right, *a))
+    done = ver.verify_findings(found, answers)
+    assert sizes == [30] and done.filter("verified").count() == 30
