@@ -18,6 +18,8 @@ from keysift.sources.staging import materialized
 SALTS = 32
 #: A key with more rows than this is dealt into ``SALTS`` parts.
 HOT = 100_000
+#: No more digests than this are broadcast.
+FEW = 100_000
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], spread: list[str | Column], salts: int = SALTS,
@@ -86,7 +88,8 @@ def scan_history_incremental(commit_files: DataFrame, pack: RulePack, memo: str,
 
     A run matches only contents whose digest no earlier run has seen under the same rules, and publishes their matches and digests, those without a
     match too, in one step; if two runs publish at once, one raises ``Conflict`` and may be repeated.  Findings of all given commits are returned,
-    known contents being given back from the memo by the salted join.
+    known contents being given back from the memo by the salted join.  Up to ``FEW`` unseen digests are broadcast, and no other text is moved; with more,
+    the texts without a candidate rule stay where they are and the others meet the unseen digests where equal contents are brought together.
     """
     spark = commit_files.sparkSession
     named = commit_files.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("commit", "file")})
@@ -100,9 +103,12 @@ def scan_history_incremental(commit_files: DataFrame, pack: RulePack, memo: str,
     unseen = places.select("digest").filter("digest IS NOT NULL").distinct()
     unseen = materialized(unseen if seen is None else unseen.join(seen, "digest", "left_anti"))
     if not unseen.isEmpty():
-        texts = wanted.select("content", identity.alias("digest")).join(unseen, "digest", "left_semi")
-        rules = pack.compiled(detect.get("keyless", "never"))
-        contents = candidate_masks(texts, "content", rules).groupBy("digest").agg(F.first("content").alias("content"))
+        texts, rules = wanted.select("content", identity.alias("digest")), pack.compiled(detect.get("keyless", "never"))
+        if unseen.count() <= FEW:  # the size is checked
+            candidates = candidate_masks(texts.join(F.broadcast(unseen), "digest", "left_semi"), "content", rules)
+        else:  # only candidates move; an inner join with distinct digests, since a semi join would be pushed below the gate
+            candidates = candidate_masks(texts, "content", rules).join(unseen.hint("merge"), "digest")
+        contents = candidates.groupBy("digest").agg(F.first("content").alias("content"))
         matches = gate_matches(rule_matches(contents, pack, "content", **detect), pack)
         new = {"seen": kept.write(unseen), "matches": kept.write(matches)}
         version = kept.publish({k: [*before.get(k, []), v] for k, v in new.items()}, version)

@@ -112,3 +112,22 @@ def test_bucketed_baselines_stay_where_they_are(spark, tmp_path):
     executed = compared._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "SortMergeJoin" in plan and executed.count("Exchange hashpartitioning") == 1  # that of the findings
     spark.sql("DROP TABLE kept_findings")
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_many_unseen_contents_equal_few(spark, tmp_path, monkeypatch, few):
+    """With many unseen contents only texts with a candidate rule are brought together."""
+    monkeypatch.setattr(history, "FEW", few, raising=False)
+    gated = []
+    monkeypatch.setattr(history, "candidate_masks", lambda df, *a, f=history.candidate_masks: gated.append(df) or f(df, *a))
+    pack, memo = builtin_pack(), f"{tmp_path}/memo"
+    first = [("c1", f"f{i}", f"text {i}\nx={TOKEN}{i % 3}" if i % 2 else f"plain {i}") for i in range(20)]
+    schema = "commit string, file string, content string"
+    for rows in (first, [*first, ("c2", "g", f"new\nx={TOKEN}Z"), ("c2", "f1", first[1][2]), ("c2", "n", None)]):
+        frame = spark.createDataFrame(rows, schema)
+        got = found(history.scan_history_incremental(frame, pack, memo))
+        gate = gated[0]._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Join" in gate) == (few > 0)
+        gated.clear()
+        assert got == found(history.scan_history(frame, pack)) and got
+        gated.clear()
