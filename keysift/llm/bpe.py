@@ -33,6 +33,7 @@ from keysift.llm.words import carried, column_bytes, slices
 
 KEPT = 100_000
 SHORT = 48
+TOGETHER = 64
 MORE = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
 OFFSETS = [T.StructField("starts", T.ArrayType(T.IntegerType(), False)), T.StructField("ends", T.ArrayType(T.IntegerType(), False))]
 
@@ -44,13 +45,13 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-def _letters_and_numbers() -> tuple[str, str]:
-    """Bodies of character classes for the general categories L and N."""
+def _letters_and_numbers(last: int) -> tuple[str, str]:
+    """Bodies of character classes for the general categories L and N, up to the character ``last``."""
     out = []
     for kind in "LN":
         ranges, start = [], None
-        for code in range(sys.maxunicode + 2):
-            inside = code <= sys.maxunicode and unicodedata.category(chr(code))[0] == kind
+        for code in range(last + 2):
+            inside = code <= last and unicodedata.category(chr(code))[0] == kind
             if inside and start is None:
                 start = code
             elif not inside and start is not None:
@@ -60,9 +61,10 @@ def _letters_and_numbers() -> tuple[str, str]:
     return out[0], out[1]
 
 
-def compiled(pattern: str) -> re.Pattern:
-    """A pattern with \\p{L} and \\p{N} for Python's matcher; white space is that of Unicode, without the separators U+001C to U+001F."""
-    letters, numbers = _letters_and_numbers()
+def compiled(pattern: str, last: int = sys.maxunicode) -> re.Pattern:
+    """A pattern with \\p{L} and \\p{N} for Python's matcher, for texts without characters beyond ``last``; white space is that of Unicode, without
+    the separators U+001C to U+001F."""
+    letters, numbers = _letters_and_numbers(last)
     space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
     text = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]")
     text = text.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
@@ -88,13 +90,27 @@ class Codec:
         self.sizes = np.zeros(max(self.bytes) + 1, np.int64)
         self.sizes[list(self.bytes)] = [len(t) for t in self.bytes.values()]
         self.shown = str.maketrans({chr(b): c for b, c in enumerate(shown)})
-        self.cut = compiled(pattern).findall
+        self.cut_any = compiled(pattern).findall
+        # Python's matcher looks classes up to U+FFFF up at once, and goes through the ranges beyond one by one wherever a run ends
+        self.cut_plane = compiled(pattern, 0xFFFF).findall
         self.kept: dict[str, tuple[int, ...]] = {}
 
+    def cut(self, text: str) -> list[str]:
+        beyond = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
+        return (self.cut_any if beyond else self.cut_plane)(text)
+
     def _fill(self, cuts: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of each cut.  The library gets many cuts as one sequence of words; tokens cover every byte, so their sizes tell where a cut ends."""
         new = list(cuts)
         mapped = [x.encode("utf-8", "replace").decode("latin-1").translate(self.shown) for x in new]
-        return dict(zip(new, (tuple(e.ids) for e in self.library.encode_batch_fast(mapped, add_special_tokens=False))))
+        words = [mapped[i:i + TOGETHER] for i in range(0, len(mapped), TOGETHER)]
+        coded = self.library.encode_batch_fast(words, is_pretokenized=True, add_special_tokens=False)
+        ids = list(chain.from_iterable(e.ids for e in coded))
+        places, ends = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, mapped), np.int64, len(mapped)))
+        if len(new) and (not len(ids) or places[-1] != ends[-1]):  # ranks that lack a byte
+            return dict(zip(new, (tuple(e.ids) for e in self.library.encode_batch_fast(mapped, add_special_tokens=False))))
+        stops = np.searchsorted(places, ends, "right").tolist()
+        return dict(zip(new, (tuple(ids[a:b]) for a, b in zip([0, *stops], stops))))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""

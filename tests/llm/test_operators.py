@@ -416,3 +416,18 @@ def test_language_scores_equal_all_segmentations(spark, docs):
 def test_language_without_training(spark, docs):
     model = langid.fit(docs())
     assert {(r["lang_pred"], r["score"]) for r in langid.predict(docs("some text", None), model).collect()} == {("und", 0.0)}
+
+
+def test_cuts_and_ids_are_alike_with_and_without_characters_beyond_the_plane():
+    """Texts without them are cut by smaller classes, and many cuts are encoded as one sequence; ids must not change by either."""
+    rng = random.Random(8)
+    bits = ["word", "Ünï", "中文", "２３", "12", " ", "  ", "\n", "\x1c", " ", "'ll", "!?", "_", "　", "é"]
+    beyond = ["😀", "𝒳", "𐒠", "\U0001d7d8"]
+    codec = bpe.codec(*bpe.public_ranks())
+    assert codec.cut_any != codec.cut_plane
+    texts = ["", *("".join(rng.choice(bits + (beyond if i % 2 else [])) for _ in range(40)) for i in range(200))]
+    assert [codec.cut(x) for x in texts] == [codec.cut_any(x) for x in texts]
+    cuts = {c for x in texts for c in codec.cut(x)}
+    alone = {c: v for c in cuts for v in codec._fill({c}).values()}
+    assert codec._fill(cuts) == alone and codec._fill(set()) == {}
+    assert [codec.decode(x).decode() for x in codec.encode(texts)] == texts
