@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from keysift.llm.words import LOWER, byte_class, column_bytes, runs, slices, text_column
 from keysift.sources.staging import Staging
 
-BLOCK = 1_000_000
+BLOCK = 500_000
 DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP = 200
@@ -47,11 +47,11 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
+    return keys[first], *(np.add.reduceat(v[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64) for v in values)
 
 
 class Block:
-    """Postings in memory: parts of (dictionary, code, group, n, documents)."""
+    """Postings in memory: parts of (dictionary, code, group, n, documents), the numbers of 32 bits, for they count within one slice of texts."""
 
     def __init__(self):
         self.groups: dict[tuple[str, int], int] = {}
@@ -70,29 +70,32 @@ class Block:
         in_text, n = _sums(text * size + coded.indices.to_numpy(), np.ones(len(text), np.int64))
         group = np.array([self.groups.setdefault(x, len(self.groups)) for x in zip(langs, sources.tolist())], np.int64)
         key, n, docs = _sums(group[in_text // size] * size + in_text % size, n, np.ones(len(n), np.int64))
-        self.parts.append((coded.dictionary, key % size, key // size, n, docs))
+        self.parts.append((coded.dictionary, *(x.astype(np.int32) for x in (key % size, key // size, n, docs))))
         self.size += len(key)
 
     def run(self) -> Iterator[pa.RecordBatch]:
-        """The block's terms in order, with their postings."""
+        """The block's terms in order, with their postings; the block is empty then."""
         if not self.parts:
             return
-        shift = np.cumsum([0, *(len(p[0]) for p in self.parts)])
-        coded = pa.concat_arrays([p[0] for p in self.parts]).dictionary_encode()
+        parts, self.parts = self.parts, []
+        shift = np.cumsum([0, *(len(p[0]) for p in parts)])
+        coded = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
         of_part, names = coded.indices.to_numpy(), coded.dictionary
         ranked = pc.sort_indices(names).to_numpy().astype(np.int64)
-        rank = np.empty(len(names), np.int64)
-        rank[ranked] = np.arange(len(names))
-        term = np.concatenate([rank[of_part[p[1] + s]] for p, s in zip(self.parts, shift)])
-        group, n, docs = (np.concatenate([p[k] for p in self.parts]) for k in (2, 3, 4))
+        rank = np.empty(len(names), np.int32)
+        rank[ranked] = np.arange(len(names), dtype=np.int32)
         langs = sorted({lang for lang, _ in self.groups})
         lang_of = np.array([langs.index(lang) for lang, _ in self.groups], np.int64)
         source_of = np.array([sid for _, sid in self.groups], np.int64)
-        word = lang_of[group] * len(names) + term
-        key, n, docs = _sums(word * len(self.groups) + group, n, docs)
+        key = np.concatenate([(lang_of[p[2]] * len(names) + rank[of_part[p[1] + s]]) * len(self.groups) + p[2] for p, s in zip(parts, shift)])
+        n, docs = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
+        del parts, coded, of_part, rank
+        key, n, docs = _sums(key, n, docs)
         postings = np.empty(len(key), POSTING)
         postings["source"], postings["n"] = source_of[key % len(self.groups)], n
+        del n
         word = key // len(self.groups)
+        del key
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         ends = np.append(first, len(word))
         docs, word = np.add.reduceat(docs, first), word[first]

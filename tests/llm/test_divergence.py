@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keysift.llm import divergence
@@ -108,3 +109,17 @@ def test_empty_tables(spark):
     rows = [(None, None, None), ("", "en", "a"), ("word", "en", "b")]
     assert rows_of(divergence.divergence(frame(spark, rows, 1))) == brute(rows) == {
         ("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)}
+
+
+def test_a_block_holds_numbers_of_32_bits_and_adds_up_64():
+    """A block's memory is what bounds an executor; it is empty once it was spilled."""
+    block = divergence.Block()
+    for _ in range(3):
+        block.add(pa.array(["b a b", None, "a"]), ["x", "x", "y"], np.array([5, 5, 6]))
+    assert all(x.dtype == np.int32 for part in block.parts for x in part[1:])
+    for part in block.parts:
+        part[3][:] = 2_000_000_000
+    rows = [r for batch in block.run() for r in batch.to_pylist()]
+    assert block.parts == []
+    got = {(r["lang"], r["term"]): (r["docs"], np.frombuffer(r["postings"], divergence.POSTING).tolist()) for r in rows}
+    assert got == {("x", "a"): (3, [(5, 6_000_000_000)]), ("x", "b"): (3, [(5, 6_000_000_000)]), ("y", "a"): (3, [(6, 6_000_000_000)])}
