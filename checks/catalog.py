@@ -155,16 +155,18 @@ IMAGE_LIMIT = 4_000_000
 BASES = 4
 
 
-def _archives(spark, folder, based: bool = False) -> DataFrame:
+def _archives(spark, folder, based: bool = False, codec: str | None = None) -> DataFrame:
     """Documents packed into image archives, twenty per image and ten per layer; some of either are broken, cut, empty or too large.
 
-    ``based`` images also have one of ``BASES`` base layers, made of the documents in the first layers of all.
+    ``based`` images also have one of ``BASES`` base layers, made of the documents in the first layers of all. With a ``codec``
+    each archive is compressed as a whole.
     """
     import gzip
     import io
     import tarfile
 
     import pandas as pd
+    import pyarrow as pa
 
     def tar(entries):
         out = io.BytesIO()
@@ -178,11 +180,9 @@ def _archives(spark, folder, based: bool = False) -> DataFrame:
     def pack(frame):
         frame = frame.sort_values("doc_id")
         layers = []
-        base = frame[frame["base"]]
-        frame = frame[~frame["base"]]
         image = int(frame["doc_id"].iloc[0]) // 20
-        if len(base):
-            layers.append((f"base{image % BASES}/layer.tar", tar(zip(base["path"], base["content"]))))
+        if base := bases.get(int(frame["kind"].iloc[0])):
+            layers.append((f"base{image % BASES}/layer.tar", tar(base)))
         for number, rows in frame.groupby(frame["doc_id"] // 10):
             layer = tar(zip(rows["path"], rows["content"]))
             layer = gzip.compress(layer) if number % 2 else layer
@@ -195,16 +195,18 @@ def _archives(spark, folder, based: bool = False) -> DataFrame:
         if image % 5 == 2:
             layers.insert(0, ("large.tar", bytes(IMAGE_LIMIT + 1)))
         whole = b"no archive" if image % 11 == 4 else b"" if image % 11 == 6 else tar(layers)
+        whole = pa.Codec(codec).compress(whole, asbytes=True) if codec else whole
         return pd.DataFrame([(frame["image"].iloc[0], whole)], columns=["path", "content"])
 
-    docs = cp.document_corpus(spark, folder).select(
+    docs = cp.document_corpus(spark, folder, spread=False).select(
         "doc_id", "path", F.encode("content", "UTF-8").alias("content"), F.floor(F.col("doc_id") / 20).alias("number"))
-    docs = docs.withColumn("base", F.lit(False))
-    if based:
-        first = docs.filter(F.floor(F.col("doc_id") / 10) < BASES).withColumn("kind", F.floor(F.col("doc_id") / 10)).drop("number")
-        images = docs.select("number").distinct().withColumn("kind", F.col("number") % BASES)
-        docs = docs.unionByName(images.join(F.broadcast(first), "kind").drop("kind").withColumn("base", F.lit(True)))
-    docs = docs.select("doc_id", "path", "content", "base", F.concat(F.lit("image_"), F.col("number").cast("string")).alias("image"))
+    bases: dict[int, list] = {}
+    if based:  # the same few documents for every table; they go out with the function, not once per image through the shuffle
+        first = docs.filter(F.col("doc_id") < 10 * BASES).withColumn("kind", F.floor(F.col("doc_id") / 10))
+        for row in sorted(first.collect(), key=lambda r: r["doc_id"]):
+            bases.setdefault(row["kind"], []).append((row["path"], row["content"]))
+    docs = docs.select("doc_id", "path", "content", (F.col("number") % BASES).alias("kind"),
+                       F.concat(F.lit("image_"), F.col("number").cast("string")).alias("image"))
     return docs.groupBy("image").applyInPandas(pack, "path string, content binary")
 
 
@@ -213,9 +215,10 @@ def q_scan_archives(spark, folder):
 
 
 def q_scan_archives_distinct(spark, folder):
-    """Archives on shared base layers, listed by path only; every different layer is opened once."""
-    paths = write_files(_archives(spark, folder, based=True), f"{shared_folder(spark)}/images-{uuid.uuid4().hex}", whole=True)
-    found = scan_archives_distinct(paths.select("path"), max_bytes=IMAGE_LIMIT)
+    """Archives on shared base layers, kept compressed and listed by path only; every different layer is opened once."""
+    images = _archives(spark, folder, based=True, codec="zstd")
+    paths = write_files(images, f"{shared_folder(spark)}/images-{uuid.uuid4().hex}", whole=True)
+    found = scan_archives_distinct(paths.select("path"), max_bytes=IMAGE_LIMIT, codec="zstd")
     return _plain(found, F.regexp_extract("image", r"([^/]*)$", 1).alias("image"), "layer")
 
 

@@ -107,13 +107,14 @@ def _spread(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return read_text_table(spark, f"{folder}/{table}.parquet").repartition(TASKS)
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return _spread(spark, folder, "documents").select("doc_id", "text")
+def documents(spark: SparkSession, folder: str, spread: bool = True) -> DataFrame:
+    table = _spread(spark, folder, "documents") if spread else read_text_table(spark, f"{folder}/documents.parquet")
+    return table.select("doc_id", "text")
 
 
-def document_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, path, content) for every document."""
-    return documents(spark, folder).select("doc_id", planted(planted_path("doc_id"), plant("doc_id")))
+def document_corpus(spark: SparkSession, folder: str, spread: bool = True) -> DataFrame:
+    """(doc_id, path, content) for every document; not ``spread`` for who shuffles them anyway."""
+    return documents(spark, folder, spread).select("doc_id", planted(planted_path("doc_id"), plant("doc_id")))
 
 
 def file_corpus(spark: SparkSession, folder: str) -> DataFrame:

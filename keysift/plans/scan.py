@@ -62,25 +62,25 @@ def scan_image_files(files: DataFrame, pack: RulePack | None = None, **options)
 
 
 def scan_archives(archives: DataFrame, pack: RulePack | None = None, max_bytes: int = MAX_IMAGE_BYTES,
-                  **options) -> DataFrame:
+                  codec: str | None = None, **options) -> DataFrame:
     """Findings of image archives, with ``image`` and ``layer`` and the tag ``docker-layer``.
 
-    What could not be read is in ``archive_errors``.
+    What could not be read is in ``archive_errors``; ``codec`` is as in ``expand_archives``.
     """
-    files = expand_archives(archives, max_bytes).filter(F.col("path").isNotNull() & F.col("error").isNull())
+    files = expand_archives(archives, max_bytes, codec=codec).filter(F.col("path").isNotNull() & F.col("error").isNull())
     found = scan_image_files(files, pack, keep=("image", "layer"), **options)
     return found.withColumn("tags", F.array_append("tags", "docker-layer"))
 
 
 def scan_archives_distinct(archives: DataFrame, pack: RulePack | None = None, max_bytes: int = MAX_IMAGE_BYTES,
-                           manifest: DataFrame | None = None, **options) -> DataFrame:
+                           manifest: DataFrame | None = None, codec: str | None = None, **options) -> DataFrame:
     """``scan_archives`` in which a layer that stands in many images is opened and matched once.
 
     Findings of a layer go back to every place where it stands; a base layer of very many images is spread by salt.  ``manifest``
     is the archives' ``layer_manifest``, where one is kept; else it is made and written to the shared folder.
     """
-    manifest = materialized(layer_manifest(archives, max_bytes)) if manifest is None else manifest
-    files = expand_layers(archives, one_place_each(manifest), max_bytes).filter(F.col("path").isNotNull() & F.col("error").isNull())
+    manifest = materialized(layer_manifest(archives, max_bytes, codec)) if manifest is None else manifest
+    files = expand_layers(archives, one_place_each(manifest), max_bytes, codec).filter(F.col("path").isNotNull() & F.col("error").isNull())
     found = scan_image_files(files.drop("layer"), pack, keep=("digest",), **options)
     places = manifest.filter(F.col("place").isNotNull()).select("image", "layer", "place", "digest")
     placed = salted_join(places, found, "digest", ["image", "place"]).drop("digest", "place")
@@ -93,21 +93,21 @@ def layer_reuse(manifest: DataFrame) -> DataFrame:
         F.min("layer").alias("layer"), F.max("length").alias("length"), F.count("*").alias("places"), F.countDistinct("image").alias("images"))
 
 
-def archive_metrics(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
+def archive_metrics(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES, codec: str | None = None) -> DataFrame:
     """(image, layers_scanned, files, errors) for every image, also one without layers, in one pass without file contents.
 
     A layer counts when it is opened, whether or not it can be read.
     """
-    rows = expand_archives(archives, max_bytes, bodies=False)
+    rows = expand_archives(archives, max_bytes, bodies=False, codec=codec)
     good = F.col("error").isNull()
     return rows.groupBy("image").agg(
         F.count_if(good & F.col("layer").isNotNull() & F.col("path").isNull()).alias("layers_scanned"),
         F.count_if(good & F.col("path").isNotNull()).alias("files"), F.count_if(~good).alias("errors"))
 
 
-def archive_errors(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
+def archive_errors(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES, codec: str | None = None) -> DataFrame:
     """(image, layer, path, error) of everything that could not be read."""
-    rows = expand_archives(archives, max_bytes, bodies=False)
+    rows = expand_archives(archives, max_bytes, bodies=False, codec=codec)
     return rows.filter(F.col("error").isNotNull()).select("image", "layer", "path", "error")
 
 

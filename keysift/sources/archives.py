@@ -163,19 +163,23 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=COLUMNS)
 
 
-def _opened(path: str, content: bytes | None) -> BinaryIO:
-    if content is not None:
+def _opened(path: str, content: bytes | None, codec: str | None = None) -> BinaryIO:
+    if content is not None and codec is None:
         return io.BufferedReader(io.BytesIO(content))
+    import pyarrow as pa
     from pyarrow import fs
+    if content is not None:
+        return io.BufferedReader(pa.CompressedInputStream(pa.BufferReader(content), codec), PIECE)
     store, place = fs.FileSystem.from_uri(arrow_uri(path))
-    return io.BufferedReader(store.open_input_stream(place, compression=None), PIECE)
+    return io.BufferedReader(store.open_input_stream(place, compression=codec), PIECE)
 
 
-def expand_archives(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES, bodies: bool = True) -> DataFrame:
+def expand_archives(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES, bodies: bool = True, codec: str | None = None) -> DataFrame:
     """One row per file of every layer, one per image (no layer), one per layer (no path) and one per error.
 
     ``archives`` has ``path`` and ``content``; without ``content`` each path (a URI of the shared store) is opened and streamed, so
-    an archive may be of any size.  ``bodies=False`` reads everything and returns no file contents.
+    an archive may be of any size.  ``bodies=False`` reads everything and returns no file contents.  ``codec`` names the compression
+    (of Arrow's, such as ``zstd`` or ``gzip``) in which whole archives are kept; they are decompressed as they are streamed.
     """
     held = "content" in archives.columns
     kept = archives.select("path", "content") if held else archives.select("path", F.lit(None).cast("binary").alias("content"))
@@ -187,7 +191,7 @@ def expand_archives(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES, bodie
                     yield pd.DataFrame([(image, *[None] * 5), (image, *[None] * 4, "tar error: no content")], columns=COLUMNS)
                     continue
                 try:
-                    stream = _opened(image, content)
+                    stream = _opened(image, content, codec)
                 except (OSError, ValueError) as error:
                     yield pd.DataFrame([(image, *[None] * 5), (image, *[None] * 4, f"tar error: {error}")], columns=COLUMNS)
                     continue
@@ -200,10 +204,10 @@ def expand_archives(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES, bodie
 MANIFEST_SCHEMA = "image string, place int, layer string, digest string, length bigint, error string"
 
 
-def layer_manifest(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
+def layer_manifest(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES, codec: str | None = None) -> DataFrame:
     """(image, place, layer, digest, length, error): a row for each image, each layer with the digest of its bytes, and each error; no file is opened.
 
-    ``archives`` is as in ``expand_archives``.
+    ``archives`` and ``codec`` are as in ``expand_archives``.
     """
     held = "content" in archives.columns
     kept = archives.select("path", "content") if held else archives.select("path", F.lit(None).cast("binary").alias("content"))
@@ -215,7 +219,7 @@ def layer_manifest(archives: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> Dat
                 try:
                     if held and content is None:
                         raise ValueError("no content")
-                    with _opened(image, content) as stream:
+                    with _opened(image, content, codec) as stream:
                         rows = list(_digests(image, stream, max_bytes))  # one small row for each layer
                 except (OSError, ValueError) as error:
                     rows = [(image, *[None] * 5), (image, *[None] * 4, f"tar error: {error}")]
@@ -232,19 +236,22 @@ def one_place_each(manifest: DataFrame) -> DataFrame:
     return first.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("place", "digest"))).alias("places"))
 
 
-def expand_layers(archives: DataFrame, places: DataFrame, max_bytes: int = MAX_IMAGE_BYTES) -> DataFrame:
+def expand_layers(archives: DataFrame, places: DataFrame, max_bytes: int = MAX_IMAGE_BYTES, codec: str | None = None) -> DataFrame:
     """(digest, layer, path, length, content, error) of the layers at ``places`` (image, places); other archives are not opened, other layers passed over.
 
-    Archives given by path are narrow rows; given with content they meet ``places`` by broadcast where Spark finds that small.
+    Archives given by path are narrow rows that stand for much reading, so they are dealt to as many tasks as a shuffle of the session has, which
+    adaptive execution leaves alone; given with content they meet ``places`` by broadcast where Spark finds that small.
     """
     held = "content" in archives.columns
     wanted = archives.join(places.withColumnRenamed("image", "path"), "path")
     rows = wanted.select("path", "content" if held else F.lit(None).cast("binary").alias("content"), F.to_json("places").alias("places"))
+    if not held:  # in turn; by path they would lie as the join leaves them
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for image, content, at in zip(frame["path"], frame["content"], frame["places"]):
-                with _opened(image, content) as stream:
+                with _opened(image, content, codec) as stream:
                     for batch in _batches(_chosen(image, stream, {int(k): v for k, v in json.loads(at).items()}, max_bytes)):
                         yield batch.rename(columns={"image": "digest"})
 
