@@ -87,10 +87,10 @@ def test_by_path_only_and_a_kept_manifest(spark, archives, tmp_path):
     assert plain(got) == plain(scan_archives_distinct(archives, max_bytes=LIMIT))
 
 
-def kept(archives):
+def counts_and_errors(archives, codec=None):
     """Everything but the wording of errors."""
-    metrics = sorted(map(tuple, archive_metrics(archives["frame"], LIMIT, codec=archives["codec"]).collect()))
-    errors = sorted((r["image"], r["layer"] or "", r["path"] or "") for r in archive_errors(archives["frame"], LIMIT, codec=archives["codec"]).collect())
+    metrics = sorted(map(tuple, archive_metrics(archives, LIMIT, codec).collect()))
+    errors = sorted((r["image"], r["layer"] or "", r["path"] or "") for r in archive_errors(archives, LIMIT, codec).collect())
     return metrics, errors
 
 
@@ -101,7 +101,7 @@ def test_archives_kept_compressed(spark, archives, tmp_path, codec):
     held = spark.createDataFrame([(n, None if b is None else bytearray(b)) for n, b in small.items()], "path string, content binary")
     want = plain(scan_archives(archives, max_bytes=LIMIT))
     assert plain(scan_archives_distinct(held, max_bytes=LIMIT, codec=codec)) == plain(scan_archives(held, max_bytes=LIMIT, codec=codec)) == want
-    assert kept({"frame": held, "codec": codec}) == kept({"frame": archives, "codec": None})
+    assert counts_and_errors(held, codec) == counts_and_errors(archives)
     for name, body in small.items():
         if body is not None:
             (tmp_path / name).write_bytes(body)
